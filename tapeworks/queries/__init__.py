@@ -7,6 +7,7 @@ from tapeworks.session import tune
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+HOME: dict = {}
 MODULES = ["bars", "indicators", "rolling", "anomaly", "volatility", "risk", "crossasset", "orderbook",
            "orderflow", "patterns", "sentiment", "quality", "drift", "models", "evaluation", "streams"]
 
@@ -19,6 +20,7 @@ def query(name: str, sql: str | None = None):
             return _fn(tune(spark), sf_dir)
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
+        HOME[name] = fn.__module__.rsplit(".", 1)[-1]
         if sql:
             ORACLES[name] = sql
         return fn

@@ -78,7 +78,7 @@ def types_agree(s, d):
 
 def main():
     import duckdb
-    from tapeworks.queries import load_all
+    from tapeworks.queries import HOME, load_all
     from tapeworks.session import local_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     mods = sys.argv[2].split(",") if len(sys.argv) > 2 and sys.argv[2] != "all" else None
@@ -92,12 +92,14 @@ def main():
     spark = local_session(8)
     bad = []
     for name, fn in q.items():
+        if mods and HOME[name] not in mods:
+            continue
         if sub and not any(s in name for s in sub.split(",")):
             continue
         try:
             ok, msg, _ = compare(spark, con, name, fn, o.get(name), d)
         except Exception as e:
-            ok, msg = False, f"{type(e).__name__}: {str(e)[:900]}"
+            ok, msg = False, f"{type(e).__name__}: {str(e)[:500]}"
         print(("ok   " if ok else "FAIL ") + name + "  " + msg, flush=True)
         if not ok:
             bad.append(name)
