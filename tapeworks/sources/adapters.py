@@ -74,3 +74,23 @@ def post_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as posts."""
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("id"), "text", "lang", F.col("source").alias("platform"), "n_chars")
+
+
+def option_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An option chain derived from lineitem: supplier = underlying, line number = strike step, return flag = expiry.
+
+    The price is intrinsic plus a bell-shaped time value scaled by the chain's mean discount, with put-call parity at rate 0.
+    """
+    t = trades(spark, sf_dir)
+    li = table(spark, sf_dir, "lineitem")
+    und = t.groupBy("symbol").agg((F.sum(F.col("price") * F.col("volume")) / F.sum("volume")).alias("underlying_price"))
+    g = li.groupBy(F.col("l_suppkey").alias("symbol"), "l_returnflag", "l_linenumber").agg((0.2 + 4 * F.avg("l_discount")).alias("sig"))
+    days = F.when(F.col("l_returnflag") == "A", 30).when(F.col("l_returnflag") == "N", 60).otherwise(90)
+    g = g.join(und, "symbol").withColumn("days", days).withColumn("tte", F.col("days") / 365.0).withColumn("m", 0.6 + 0.1 * F.col("l_linenumber"))
+    g = g.withColumn("strike", F.col("underlying_price") * F.col("m"))
+    call = F.greatest(F.col("underlying_price") - F.col("strike"), F.lit(0.0)) + 0.4 * F.col("underlying_price") * F.col("sig") * F.sqrt("tte") * F.exp(-8 * (F.col("m") - 1) ** 2)
+    g = g.withColumn("c", call).withColumn("p", F.col("c") - F.col("underlying_price") + F.col("strike"))
+    q = g.select("symbol", "days", "tte", "underlying_price", "strike", F.ln("m").alias("log_moneyness"), F.lit(0.0).alias("risk_free_rate"), F.col("sig").alias("iv"),
+                 F.explode(F.array(F.struct(F.lit("call").alias("option_type"), F.col("c").alias("price")), F.struct(F.lit("put").alias("option_type"), F.col("p").alias("price")))).alias("o"))
+    q = q.select("*", "o.*").drop("o")
+    return q.withColumn("bid", F.col("price") * 0.98).withColumn("ask", F.col("price") * 1.02)
