@@ -94,3 +94,29 @@ def option_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.explode(F.array(F.struct(F.lit("call").alias("option_type"), F.col("c").alias("price")), F.struct(F.lit("put").alias("option_type"), F.col("p").alias("price")))).alias("o"))
     q = q.select("*", "o.*").drop("o")
     return q.withColumn("bid", F.col("price") * 0.98).withColumn("ask", F.col("price") * 1.02)
+
+
+def book_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six-hour order-book snapshots built from events on a half-point tick grid around 100."""
+    e = order_events(spark, sf_dir)
+    lv = (e.groupBy("symbol", F.window("ts", "6 hours")["start"].alias("ts"), "side", F.ceil(F.col("price") / 5).alias("j"))
+            .agg(F.sum("size").alias("qty")))
+    g = lv.groupBy("symbol", "ts").agg(
+        F.array_sort(F.collect_list(F.when(F.col("side") == "buy", F.struct("j", "qty")))).alias("b"),
+        F.array_sort(F.collect_list(F.when(F.col("side") == "sell", F.struct("j", "qty")))).alias("a"))
+    levels = lambda c, sign: F.transform(c, lambda x: F.struct((F.lit(100.0) + sign * 0.5 * x["j"]).alias("price"), x["qty"].alias("qty")))
+    return g.where((F.size("a") > 0) & (F.size("b") > 0)).select("symbol", "ts", levels("b", -1).alias("bids"), levels("a", 1).alias("asks"))
+
+
+def futures_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily futures measures per nation derived from lineitem flows."""
+    li = table(spark, sf_dir, "lineitem")
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation")
+    sn = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select("s_suppkey", F.col("n_name").alias("symbol"))
+    r = F.col("l_returnflag") == "R"
+    px = F.sum("l_extendedprice") / F.sum("l_quantity")
+    return (li.join(sn, li.l_suppkey == sn.s_suppkey).groupBy("symbol", F.col("l_shipdate").cast("timestamp").alias("ts"))
+              .agg((F.avg("l_tax") - F.avg("l_discount")).alias("funding_rate"), F.sum("l_quantity").alias("open_interest"),
+                   F.sum(F.when(r, F.col("l_quantity")).otherwise(0.0)).alias("liquidations_long"), F.sum(F.when(r, 0.0).otherwise(F.col("l_quantity"))).alias("liquidations_short"),
+                   px.alias("index_price"), (px * (1 + F.avg("l_tax"))).alias("mark_price")))
