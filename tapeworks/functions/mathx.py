@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,11 +105,30 @@ def chi2_sf(x, k: int) -> Column:
     return acc
 
 
+def chi2_sf_any(x, dof) -> Column:
+    """Upper chi-square tail for a column of degrees of freedom (for result tables of a few rows)."""
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, k: pd.Series) -> pd.Series:
+        def one(v, n):
+            v, n = float(v), int(n)
+            if n < 1 or v <= 0:
+                return 1.0
+            if n % 2:
+                acc, term, j = math.erfc(math.sqrt(v / 2)), math.sqrt(2 * v / math.pi) * math.exp(-v / 2), 1
+            else:
+                acc, term, j = math.exp(-v / 2), math.exp(-v / 2) * v / 2, 2
+            while j < n:
+                acc, term, j = acc + term, term * v / (j + 2), j + 2
+            return acc
+        return pd.Series([one(a, b) for a, b in zip(x, k)])
+    return tail(_c(x), _c(dof))
+
+
 def ks_p(d, n, m) -> Column:
     """Asymptotic two-sample Kolmogorov p-value (alternating series)."""
     d, n, m = _c(d), _c(n).cast("double"), _c(m).cast("double")
     lam = d * F.sqrt(n * m / (n + m))
-    s = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 101)), F.lit(0.0))
+    s = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 26)), F.lit(0.0))
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(clip(s, 0.0, 1.0))
 
 

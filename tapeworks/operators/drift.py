@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.mathx import chi2_sf, ks_p, safe_div, two_sided_p
+from tapeworks.functions.mathx import chi2_sf_any, ks_p, safe_div, two_sided_p
 from tapeworks.operators.cleaning import unpivot
 from tapeworks.plans.orderstats import attach_stats, cumulative_counts, quantiles
 from tapeworks.plans.panel import join_on
@@ -80,10 +80,7 @@ def chi_square(base: DataFrame, cur: DataFrame, col: str, max_categories: int =
     tot = j.agg(F.struct(F.sum("_b").alias("b"), F.sum("_c").alias("c")).alias("t")).scalar()
     j = j.withColumn("_t", tot).withColumn("_e", F.greatest(F.col("_b"), F.lit(0.5)) / F.col("_t.b") * F.col("_t.c"))
     g = j.agg(F.sum((F.col("_c") - F.col("_e")) ** 2 / F.col("_e")).alias("chi2"), (F.count(F.lit(1)) - 1).cast("int").alias("dof"))
-    p = F.lit(None).cast("double")
-    for k in range(1, max_categories):
-        p = F.when(F.col("dof") == k, chi2_sf("chi2", k)).otherwise(p)
-    return g.where(F.col("dof") < max_categories).withColumn("p", p)
+    return g.where(F.col("dof") < max_categories).withColumn("p", chi2_sf_any("chi2", "dof"))
 
 
 def join_full(a: DataFrame, b: DataFrame, col: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Data-quality checks: rule tables and profiles evaluated as single aggregation passes."""
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,32 +43,56 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     return a.withColumn("share", safe_div(F.col("duplicates").cast("double"), F.col("n")))
 
 
-def near_duplicates(df: DataFrame, row_id: str, cols: Sequence[str], threshold: float = 0.95, cell: float = 0.35) -> DataFrame:
-    """Rows having another row with cosine similarity of standardized features above the threshold; returns (row_id, nb, cosine) for the closest such row.
+def near_duplicates(df: DataFrame, row_id: str, cols: Sequence[str], threshold: float = 0.95, group_rows: int = 4000) -> DataFrame:
+    """Closest other row with cosine similarity of standardized features above the threshold: (row_id, nb, cosine).
 
-    On the unit sphere cosine > t means distance < sqrt(2 - 2t), so rows only need to meet inside one
-    grid cell of that width or a neighbouring cell along the first two coordinates: an exact equi join on cells.
-    Identical vectors are collapsed first, so a value shared by a third of the rows meets itself once.
+    On the unit sphere cosine > t means distance < sqrt(2 - 2t), so rows can only match inside one grid cell of
+    that width or a neighbouring cell along the first two coordinates. Identical vectors are collapsed first; a
+    crowded cell is split into sub-blocks by its counted size, every sub-block pair meets in one task of bounded
+    size, and each task returns only the best partner per row, never the pairs.
     """
-    import math
-    cell = max(cell, math.sqrt(2 - 2 * threshold))
+    cell = math.sqrt(2 - 2 * threshold)
     st = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]).alias("s")).scalar()
     d = df.select(row_id, *cols).withColumn("_s", st)
     z = [safe_div(F.col(c) - F.col("_s")[f"m_{c}"], F.col("_s")[f"s_{c}"]) for c in cols]
     d = d.select(row_id, F.array(*z).alias("_z"))
     norm = F.sqrt(F.aggregate("_z", F.lit(0.0), lambda a, x: a + x * x))
     d = d.withColumn("_n", norm).where(F.col("_n") > 0).select(row_id, F.transform("_z", lambda x: x / F.col("_n")).alias("u"))
-    g = d.groupBy("u").agg(F.min(row_id).alias("id1"), F.max(row_id).alias("id2"), F.count(F.lit(1)).alias("k"))
-    c = lambda i: F.floor(F.get("u", F.lit(i)) / cell)
+    g = d.groupBy("u").agg(F.min(F.col(row_id).cast("bigint")).alias("id1"), F.max(F.col(row_id).cast("bigint")).alias("id2"), F.count(F.lit(1)).alias("k"))
     dims = min(2, len(cols))
-    cells = F.array(*[F.struct((c(0) + i).alias("a"), (c(dims - 1) + j).alias("b")) for i in (-1, 0, 1) for j in ((-1, 0, 1) if dims == 2 else (0,))])
-    left = g.select("u", F.struct(c(0).alias("a"), c(dims - 1).alias("b")).alias("cell"), "id1")
-    right = g.select(F.col("u").alias("v"), F.explode(cells).alias("cell"), F.col("id1").alias("other"))
-    dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    near = left.join(right, "cell").where(F.col("id1") != F.col("other")).withColumn("cos", dot).where(F.col("cos") > threshold)
-    best = near.groupBy("u").agg(F.max(F.struct("cos", (-F.col("other")).alias("o"))).alias("m"))
-    j = d.join(g, "u").join(best, "u", "left")
-    twin = F.when(F.col("k") > 1, F.when(F.col(row_id) == F.col("id1"), F.col("id2")).otherwise(F.col("id1")))
+    at = [F.floor(F.get("u", F.lit(i)) / cell) for i in (0, dims - 1)]
+    steps = [(i, j) for i in (-1, 0, 1) for j in ((-1, 0, 1) if dims == 2 else (0,))]
+    left = g.select("u", "id1", at[0].alias("ca"), at[1].alias("cb"))
+    right = g.select("u", "id1", F.explode(F.array(*[F.struct((at[0] + i).alias("ca"), (at[1] + j).alias("cb")) for i, j in steps])).alias("c")).select("u", "id1", "c.*")
+    size = right.groupBy("ca", "cb").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    salt = F.pmod(F.xxhash64("id1"), F.col("parts")).cast("int")
+    left = left.join(size, ["ca", "cb"]).withColumn("l", salt).withColumn("r", every)
+    right = right.join(size, ["ca", "cb"]).withColumn("r", salt).withColumn("l", every)
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id1": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "cos": pd.Series(dtype="float64")})
+        x, y, ib = np.stack(a["u"].to_numpy()), np.stack(b["u"].to_numpy()), b["id1"].to_numpy()
+        out = []
+        for s in range(0, len(x), 512):
+            dot = np.zeros((len(x[s:s + 512]), len(y)))
+            for j in range(x.shape[1]):
+                dot += x[s:s + 512, j:j + 1] * y[:, j]
+            ids = a["id1"].to_numpy()[s:s + 512]
+            dot[ids[:, None] == ib[None, :]] = -2
+            top = dot.max(1)
+            first = np.where(dot == top[:, None], ib[None, :], np.iinfo(np.int64).max).min(1)
+            ok = top > threshold
+            out.append(pd.DataFrame({"id1": ids[ok], "other": first[ok], "cos": top[ok]}))
+        return pd.concat(out, ignore_index=True)
+
+    k = ["ca", "cb", "l", "r"]
+    near = left.groupBy(*k).cogroup(right.groupBy(*k)).applyInPandas(meet, "id1 bigint, other bigint, cos double")
+    best = near.groupBy("id1").agg(F.max(F.struct("cos", (-F.col("other")).alias("o"))).alias("m"))
+    j = d.join(g, "u").join(best, "id1", "left")
+    own = F.col(row_id).cast("bigint")
+    twin = F.when(F.col("k") > 1, F.when(own == F.col("id1"), F.col("id2")).otherwise(F.col("id1")))
     return (j.withColumn("nb", F.coalesce(twin, -F.col("m.o"))).where(F.col("nb").isNotNull())
              .select(row_id, "nb", F.when(twin.isNotNull(), 1.0).otherwise(F.col("m.cos")).alias("cosine")))
 
@@ -252,7 +279,6 @@ def inject_defects(df: DataFrame, c: str, row_id: str, severity: float = 0.05, s
 def synthetic_bars(spark, symbols: int, steps: int, start: str = "2024-01-01", drift: float = 0.0, vol: float = 0.01, seed: int = 42) -> DataFrame:
     """Geometric-walk OHLCV fixtures: normal steps from hashed uniforms, price by running sum per symbol."""
     from tapeworks.functions.sampling import hash_uniform
-    import math
     d = spark.range(symbols * steps).select((F.col("id") % symbols).alias("s"), F.floor(F.col("id") / symbols).alias("k"))
     z = F.sqrt(-2 * F.ln(hash_uniform(seed, "s", "k") * 0.999999 + 5e-7)) * F.cos(2 * math.pi * hash_uniform(seed + 1, "s", "k"))
     d = d.select(F.concat(F.lit("S"), F.col("s")).alias("symbol"), (F.lit(start).cast("timestamp") + F.make_interval(hours=F.col("k"))).alias("ts"), (drift + vol * z).alias("_r"), hash_uniform(seed + 2, "s", "k").alias("_u"))
