@@ -503,12 +503,12 @@ def clip_normalize(df: DataFrame, cols: Sequence[str], n: int = 100, limit: floa
     return df.select(*[c for c in df.columns if c not in cols], *[F.coalesce(z(c), F.lit(0.0)).alias(c) for c in cols])
 
 
-def write_indicator_table(df: DataFrame, path: str, p: Panel = PANEL, bucket: Column | None = None, by: str | None = None) -> None:
-    """Materialize the indicator table once; later lookups are pruned scans or equi joins."""
-    out = feature_set(df, p, bucket).withColumn("_day", F.to_date(p.order[0]))
-    (out.repartitionByRange(F.col("_day"), *p.keys).write.mode("overwrite").partitionBy("_day").parquet(path))
+def write_indicator_table(df: DataFrame, path: str, p: Panel = PANEL, bucket: Column | None = None) -> None:
+    """Materialize the indicator table once, partitioned by year; later lookups are pruned scans or equi joins."""
+    out = feature_set(df, p, bucket).withColumn("_year", F.year(p.order[0]))
+    out.repartitionByRange(F.col("_year"), *p.keys).write.mode("overwrite").partitionBy("_year").parquet(path)
 
 
 def lookup_indicators(spark, path: str, keys: DataFrame, p: Panel = PANEL) -> DataFrame:
     t = spark.read.parquet(path)
-    return keys.withColumn("_day", F.to_date(p.order[0])).join(t, [*p.keys, *p.order, "_day"], "left").drop("_day")
+    return keys.withColumn("_year", F.year(p.order[0])).join(t, [*p.keys, *p.order, "_year"], "left").drop("_year")

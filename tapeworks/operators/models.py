@@ -31,17 +31,19 @@ def train(df: DataFrame, kind: str, cols: Sequence[str], label: str, params: Map
     return pipeline(kind, cols, label, params).fit(df)
 
 
-def select_model(df: DataFrame, kinds: Sequence[str], cols: Sequence[str], label: str, fold: str, metric: str = "rmse") -> DataFrame:
+def select_model(df: DataFrame, kinds: Sequence[str], cols: Sequence[str], label: str, fold: str, metric: str = "rmse", params: Mapping | None = None) -> DataFrame:
     """Cross-validated score per model over an integer fold column."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    df = df.persist()  # every model and fold rereads it
     k = df.agg(F.max(fold)).first()[0] + 1
     ev = RegressionEvaluator(labelCol=label, metricName=metric)
     rows = []
     for kind in kinds:
-        cv = CrossValidator(estimator=pipeline(kind, cols, label), estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev, numFolds=int(k), foldCol=fold, parallelism=2)
+        cv = CrossValidator(estimator=pipeline(kind, cols, label, (params or {}).get(kind)), estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev, numFolds=int(k), foldCol=fold, parallelism=2)
         m = cv.fit(df)
         rows.append((kind, float(m.avgMetrics[0]), float(m.stdMetrics[0])))
+    df.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, score double, std double").orderBy("score")
 
 
@@ -50,6 +52,7 @@ def grid_search(df: DataFrame, kind: str, cols: Sequence[str], label: str, grid:
     import random
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+    df = df.persist()
     pl = pipeline(kind, cols, label)
     est = pl.getStages()[-1]
     b = ParamGridBuilder()
@@ -60,6 +63,7 @@ def grid_search(df: DataFrame, kind: str, cols: Sequence[str], label: str, grid:
         maps = random.Random(seed).sample(maps, samples)
     m = TrainValidationSplit(estimator=pl, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=label, metricName=metric), trainRatio=.8, seed=seed, parallelism=parallelism).fit(df)
     rows = [(", ".join(f"{p.name}={v}" for p, v in pm.items()), float(s)) for pm, s in zip(maps, m.validationMetrics)]
+    df.unpersist()
     return m.bestModel, df.sparkSession.createDataFrame(rows, "params string, score double")
 
 

@@ -68,12 +68,14 @@ def near_duplicates(df: DataFrame, row_id: str, cols: Sequence[str], threshold:
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     salt = F.pmod(F.xxhash64("id1"), F.col("parts")).cast("int")
     left = left.join(size, ["ca", "cb"]).withColumn("l", salt).withColumn("r", every)
-    right = right.join(size, ["ca", "cb"]).withColumn("r", salt).withColumn("l", every)
+    size2 = size.select(F.col("ca").alias("na"), F.col("cb").alias("nb_"), F.col("parts").alias("np"))
+    right = right.select(F.col("u").alias("v"), F.col("id1").alias("nid"), F.col("ca").alias("na"), F.col("cb").alias("nb_")).join(size2, ["na", "nb_"])
+    right = right.withColumn("nr", F.pmod(F.xxhash64("nid"), F.col("np")).cast("int")).withColumn("nl", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id1": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "cos": pd.Series(dtype="float64")})
-        x, y, ib = np.stack(a["u"].to_numpy()), np.stack(b["u"].to_numpy()), b["id1"].to_numpy()
+        x, y, ib = np.stack(a["u"].to_numpy()), np.stack(b["v"].to_numpy()), b["nid"].to_numpy()
         out = []
         for s in range(0, len(x), 512):
             dot = np.zeros((len(x[s:s + 512]), len(y)))
@@ -87,8 +89,7 @@ def near_duplicates(df: DataFrame, row_id: str, cols: Sequence[str], threshold:
             out.append(pd.DataFrame({"id1": ids[ok], "other": first[ok], "cos": top[ok]}))
         return pd.concat(out, ignore_index=True)
 
-    k = ["ca", "cb", "l", "r"]
-    near = left.groupBy(*k).cogroup(right.groupBy(*k)).applyInPandas(meet, "id1 bigint, other bigint, cos double")
+    near = left.groupBy("ca", "cb", "l", "r").cogroup(right.groupBy("na", "nb_", "nl", "nr")).applyInPandas(meet, "id1 bigint, other bigint, cos double")
     best = near.groupBy("id1").agg(F.max(F.struct("cos", (-F.col("other")).alias("o"))).alias("m"))
     j = d.join(g, "u").join(best, "id1", "left")
     own = F.col(row_id).cast("bigint")

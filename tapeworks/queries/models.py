@@ -139,7 +139,7 @@ def _(s, d):
 def _(s, d):
     from tapeworks.operators.evaluation import time_folds
     x = _xy(s, d).withColumn("fold", (F.year("ts") % 3).cast("int"))
-    return rcols(M.select_model(x, ["linear", "forest"], ["har_1", "har_5", "har_22"], "rv", "fold"), ["model"], ["score"], 3)
+    return rcols(M.select_model(x, ["linear", "forest"], ["har_1", "har_5", "har_22"], "rv", "fold", params={"forest": {"numTrees": 5, "maxDepth": 3}}), ["model"], ["score"], 3)
 
 
 @query("model_grid_search")
