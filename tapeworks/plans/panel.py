@@ -163,7 +163,7 @@ def running(df: DataFrame, panel: Panel, specs: Mapping[str, tuple[str, Column]]
 
 
 def islands(df: DataFrame, panel: Panel, label: Column, name: str = "island") -> DataFrame:
-    """Number runs of equal ``label`` within each key: running count of changes."""
+    """Number runs of equal ``label`` within each key from 1: running count of starts."""
     lag = F.lag(label).over(panel.w)
     change = F.when(lag.isNull() & F.lag(F.lit(1)).over(panel.w).isNull(), 1).when(~label.eqNullSafe(lag), 1).otherwise(0)
     return (df.withColumn("_chg", change)

@@ -91,9 +91,9 @@ def test_ema_over_many_chunks(spark):
     assert np.allclose(a["e"], a["price"].ewm(span=3, adjust=False).mean(), rtol=1e-9)
 
 
-def test_islands(spark):
+def test_islands_count_from_one(spark):
     d = spark.createDataFrame([("a", i, v) for i, v in enumerate("xxyyxz")], "symbol string, ts int, v string")
-    assert [r.island for r in islands(d, Panel(), F.col("v")).orderBy("ts").collect()] == [0, 0, 1, 1, 2, 3]
+    assert [r.island for r in islands(d, Panel(), F.col("v")).orderBy("ts").collect()] == [1, 1, 2, 2, 3, 4]
 
 
 def test_skewed_key_spreads_over_tasks(spark, tape):
