@@ -148,7 +148,7 @@ def _(s, d):
     return rcols(t, ["params"], ["score"], 3)
 
 
-@query("model_feature_pipeline")
+@query("model_end_to_end")
 def _(s, d):
     p = M.feature_pipeline(_xy(s, d), "rv", ["har_1", "har_5", "har_22"], "ts", keep=2, kind="linear")
     return rcols(p, ["n", "features"], ["mae", "rmse", "r2"], 3)
