@@ -7,7 +7,9 @@ home, so no bucket grows with it; homes and buckets grow in number with ``spark.
 
 Three questions: ``narrow`` (does the key occur twice or more, and somewhere as an anchor? 30 bits of the key and two
 flags are sent, so a yes may be false and a no never is), ``wide`` (does it occur twice or more, by all 64 bits) and
-``smaller`` (has the key an owner with a smaller id in another home?).
+``smaller`` (has the key an owner with a smaller id in another home?). A fourth, ``pair``, sends keys of two parts, 30 bits
+of an outer and all of an inner one that may be unknown: does the inner part occur twice or more (first answer), and does
+the outer part while some holder of it got a no (second answer)?
 """
 from __future__ import annotations
 
@@ -60,17 +62,17 @@ def _cuts(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def ask(home: int, questions: list[tuple], n: int) -> pa.Table:
-    """questions: ("narrow", sorted distinct keys, twice here, anchor here), ("wide", keys, twice here) or
-    ("smaller", keys, smallest owner here); the place in the list is the kind."""
+    """questions: ("narrow", sorted distinct keys, twice here, anchor here), ("wide", keys, twice here), ("smaller", keys,
+    smallest owner here) or ("pair", outer keys, inner keys, twice here, inner known); the place in the list is the kind."""
     rows: list[tuple] = []
     for kind, (what, keys, *more) in enumerate(questions):
         cut = _cuts(keys, n)
         sent = keys
-        if what == "narrow":
-            sent = (((keys & U(0x3FFFFFFF)) << U(2)) | (more[0].astype(U) << U(1)) | more[1].astype(U)).astype(np.uint32)
+        if what in ("narrow", "pair"):
+            sent = (((keys & U(0x3FFFFFFF)) << U(2)) | (more[-2].astype(U) << U(1)) | more[-1].astype(U)).astype(np.uint32)
         for b in np.flatnonzero(np.diff(cut)):
             part = slice(cut[b], cut[b + 1])
-            owners = np.packbits(more[0][part]).tobytes() if what == "wide" else _thin(more[0][part]) if what == "smaller" else b""
+            owners = np.packbits(more[0][part]).tobytes() if what == "wide" else _thin(more[0][part]) if what == "smaller" else more[0][part].tobytes() if what == "pair" else b""
             rows.append((int(b), home, kind, sent[part].tobytes(), owners))
     return table_of(rows, _ASK)
 
@@ -100,14 +102,15 @@ def replies(asked: DataFrame, kinds: list[str]) -> DataFrame:
             rows = table.filter(pc.equal(table["kind"], kind))
             what = kinds[kind]
             blobs = rows["keys"].to_pylist()
-            parts = [np.frombuffer(b, np.uint32 if what == "narrow" else U) for b in blobs]
+            parts = [np.frombuffer(b, np.uint32 if what in ("narrow", "pair") else U) for b in blobs]
             sizes = [len(p) for p in parts]
             keys = np.concatenate(parts)
-            if what == "narrow":
+            if what in ("narrow", "pair"):
                 anchors, flags, keys = (keys & np.uint32(1)).astype(bool), (keys & np.uint32(2)).astype(bool), keys >> np.uint32(2)
             elif what == "wide":
                 flags = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=s) for b, s in zip(rows["owners"].to_pylist(), sizes)]).astype(bool)
-            order = np.argsort(keys, kind="stable")
+            inner = np.concatenate([np.frombuffer(b, U) for b in rows["owners"].to_pylist()]) if what == "pair" else None
+            order = np.argsort(keys, kind="stable") if inner is None else np.lexsort((inner, keys))
             k = keys[order]
             first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             if what == "smaller":
@@ -118,12 +121,20 @@ def replies(asked: DataFrame, kinds: list[str]) -> DataFrame:
                 size = np.diff(np.append(first, len(k)))
                 many = (size > 1) | np.logical_or.reduceat(flags[order], first)
                 yes = np.repeat(many & np.logical_or.reduceat(anchors[order], first) if what == "narrow" else many, size)
-            bits = np.empty(len(k), bool)
-            bits[order] = yes
-            at = 0
-            for home, s in zip(rows["home"].to_pylist(), sizes):
-                out.append((home, bucket, kind, s, np.packbits(bits[at:at + s]).tobytes()))
-                at += s
+            said = [yes]
+            if what == "pair":
+                i = inner[order]
+                part = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]))))
+                held = np.diff(np.append(part, len(k)))
+                twice = np.repeat(((held > 1) | np.logical_or.reduceat(flags[order], part)) & np.logical_and.reduceat(anchors[order], part), held)
+                said = [twice, np.repeat(many & ~np.logical_and.reduceat(twice, first), size)]
+            for more, yes in enumerate(said):
+                bits = np.empty(len(k), bool)
+                bits[order] = yes
+                at = 0
+                for home, s in zip(rows["home"].to_pylist(), sizes):
+                    out.append((home, bucket, kind + more, s, np.packbits(bits[at:at + s]).tobytes()))
+                    at += s
         return table_of(out, _REPLY)
 
     return asked.groupBy("bucket").applyInArrow(answer, REPLY)

@@ -41,3 +41,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(documents(spark, sf_dir), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left after removing every 400-byte string that also starts elsewhere."""
+    from tapeworks.llm.op2_suffix import remove_repeats
+
+    out = remove_repeats(documents(spark, sf_dir), depth=400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
