@@ -71,3 +71,25 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeworks.llm.op9_jaccard import jaccard_join
 
     return jaccard_join(documents(spark, sf_dir), k=3, num=90, den=100)
+
+
+@query("op1_mcd_quality")
+def op1_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics, base rules and the verdict of robust distances per language and source."""
+    from tapeworks.llm.op1_outliers import quality
+
+    return quality(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_benchmark_containment", rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({SQL_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+dg AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+bg AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b)),
+n AS (SELECT item_id, count(*) AS n FROM bg GROUP BY item_id)
+SELECT doc_id, item_id, count(*) / any_value(n) AS containment FROM dg JOIN bg USING (g) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) >= 0.8 * any_value(n)""".replace("GROUP BY ALL HAVING", "GROUP BY doc_id, item_id HAVING"))
+def op8_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 80 % or more of a benchmark item's 5-word shingles."""
+    from tapeworks.llm.op8_contain import contained
+
+    return contained(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
