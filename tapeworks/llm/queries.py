@@ -93,3 +93,11 @@ def op8_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeworks.llm.op8_contain import contained
 
     return contained(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    from tapeworks.llm.op3_language import language
+
+    return language(documents(spark, sf_dir))
