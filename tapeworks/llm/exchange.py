@@ -93,7 +93,7 @@ def _wide(blob: bytes) -> np.ndarray:
 
 
 def replies(asked: DataFrame, kinds: list[str]) -> DataFrame:
-    """One bit for each key that was sent."""
+    """One bit for each key that was sent (two for a pair), dealt out by home so that every later pass reads the same shuffle."""
 
     def answer(table):
         out = []
@@ -128,27 +128,27 @@ def replies(asked: DataFrame, kinds: list[str]) -> DataFrame:
                 held = np.diff(np.append(part, len(k)))
                 twice = np.repeat(((held > 1) | np.logical_or.reduceat(flags[order], part)) & np.logical_and.reduceat(anchors[order], part), held)
                 said = [twice, np.repeat(many & ~np.logical_and.reduceat(twice, first), size)]
-            for more, yes in enumerate(said):
-                bits = np.empty(len(k), bool)
-                bits[order] = yes
-                at = 0
-                for home, s in zip(rows["home"].to_pylist(), sizes):
-                    out.append((home, bucket, kind + more, s, np.packbits(bits[at:at + s]).tobytes()))
-                    at += s
+            bits = np.empty((len(said), len(k)), bool)
+            bits[:, order] = said
+            at = 0
+            for home, s in zip(rows["home"].to_pylist(), sizes):
+                out.append((home, bucket, kind, s, np.packbits(bits[:, at:at + s]).tobytes()))
+                at += s
         return table_of(out, _REPLY)
 
-    return asked.groupBy("bucket").applyInArrow(answer, REPLY)
+    return asked.groupBy("bucket").applyInArrow(answer, REPLY).repartition(width(asked), "home")
 
 
-def read(table: pa.Table, kinds: int) -> list[np.ndarray]:
-    """The bits of each kind, in the order of the keys sent."""
+def read(table: pa.Table, kinds: list[str]) -> list[np.ndarray]:
+    """The bits of each question, in the order of the keys sent; two arrays for a pair."""
     out = []
     table = table.sort_by([("kind", "ascending"), ("bucket", "ascending")])
     kind = table["kind"].to_numpy()
     size, blob = table["n"].to_pylist(), table["bits"].to_pylist()
-    for k in range(kinds):
-        got = [np.unpackbits(np.frombuffer(blob[i], np.uint8), count=size[i]) for i in np.flatnonzero(kind == k)]
-        out.append(np.concatenate(got).astype(bool) if got else np.zeros(0, bool))
+    for k, what in enumerate(kinds):
+        rows = 2 if what == "pair" else 1
+        got = [np.unpackbits(np.frombuffer(blob[i], np.uint8), count=rows * size[i]).reshape(rows, size[i]) for i in np.flatnonzero(kind == k)]
+        out += list(np.concatenate(got, 1).astype(bool)) if got else [np.zeros(0, bool)] * rows
     return out
 
 

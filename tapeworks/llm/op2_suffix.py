@@ -136,7 +136,8 @@ class Suffixes:
         return np.cumsum(edge[:-1]) > 0
 
 
-#: where the answers to each level's question start
+#: the question of each level, and where its answers start
+KINDS = ["pair", "pair", "wide"]
 START = (0, 2, 4, 5)
 
 
@@ -147,7 +148,7 @@ def remove_repeats(docs: DataFrame, depth: int = 400, carry: tuple[str, ...] = (
 
     def passed(table: pa.Table, reply, level: int) -> Suffixes:
         s = Suffixes(table, depth)
-        bits = X.read(reply, START[-1]) if reply is not None else []
+        bits = X.read(reply, KINDS) if reply is not None else []
         for k in range(level):
             s.settle(k, bits[START[k]:START[k + 1]])
         return s
@@ -182,9 +183,9 @@ def remove_repeats(docs: DataFrame, depth: int = 400, carry: tuple[str, ...] = (
 
     schema = T.StructType([*docs.select("doc_id", *carry).schema, *T._parse_datatype_string("n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>")])
     known = None
-    for level, size in enumerate(BLOCKS):
+    for level in range(len(BLOCKS)):
         left = base.groupBy("home")
         asked = left.applyInArrow(asker(0), X.ASK) if known is None else left.cogroup(known.groupBy("home")).applyInArrow(asker(level), X.ASK)
-        reply = X.replies(asked, ["pair" if size > 1 else "wide"]).withColumn("kind", F.col("kind") + F.lit(START[level]))
+        reply = X.replies(asked, [KINDS[level]]).withColumn("kind", F.lit(level))
         known = reply if known is None else known.unionByName(reply)
     return base.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(finish, schema)

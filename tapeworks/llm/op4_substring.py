@@ -53,12 +53,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = (
         return first, g, at, doc, keys, X.ids(table)[doc[where]]
 
     def ask_windows(key, table, reply):
-        *_, keys, least = extended(X.by_id(table), X.read(reply, 1)[0])
+        *_, keys, least = extended(X.by_id(table), X.read(reply, ["narrow"])[0])
         return X.ask(key[0].as_py(), [("smaller", keys, least)], n)
 
     def finish(key, table, reply):
         table = X.by_id(table)
-        hits, older = X.read(reply, 2)
+        hits, older = X.read(reply, ["narrow", "smaller"])
         first, g, at, doc, keys, least = extended(table, hits)
         spot = np.searchsorted(keys, g)
         gone = (older[spot] | (least[spot] < X.ids(table)[doc])) if len(g) else np.zeros(0, bool)

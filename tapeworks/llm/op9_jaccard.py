@@ -178,7 +178,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ord
 
     def survivors(key, table, right):
         some, heads = chosen(table, right)
-        bits = X.read(right.filter(pc.greater_equal(right["kind"], 0)), orders)
+        bits = X.read(right.filter(pc.greater_equal(right["kind"], 0)), ["narrow"] * orders)
         sent = [np.unique(np.concatenate(h or [np.zeros(0, U)])) for h in heads]
         rows = []
         for at, (i, copies, s) in enumerate(some):
