@@ -101,3 +101,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeworks.llm.op3_language import language
 
     return language(documents(spark, sf_dir))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    from tapeworks.llm.op7_toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
