@@ -109,3 +109,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeworks.llm.op7_toxicity import toxicity
 
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op10_pseudo_likelihood")
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document."""
+    from tapeworks.llm.op10_pll import pseudo_likelihood
+
+    return pseudo_likelihood(documents(spark, sf_dir))
