@@ -5,9 +5,10 @@ key space; a bucket sees a key from every home that holds it and answers each ho
 sent. The home derives the same keys again and reads the bits. A key held by a third of the corpus is one entry per
 home, so no bucket grows with it; homes and buckets grow in number with ``spark.sql.shuffle.partitions``, not in size.
 
-Three questions: ``narrow`` (does the key occur twice or more, and somewhere as an anchor? 30 bits of the key and two
+Questions: ``narrow`` (does the key occur twice or more, and somewhere as an anchor? 30 bits of the key and two
 flags are sent, so a yes may be false and a no never is), ``wide`` (does it occur twice or more, by all 64 bits) and
-``smaller`` (has the key an owner with a smaller id in another home?). A fourth, ``pair``, sends keys of two parts, 30 bits
+``smaller`` (has the key an owner with a smaller id in another home?). ``count`` (how often does the key occur, on a scale
+of a quarter of a power of two? 32 bits are sent, so it may be too often, alike for all who ask). The last, ``pair``, sends keys of two parts, 30 bits
 of an outer and all of an inner one that may be unknown: does the inner part occur twice or more (first answer), and does
 the outer part while some holder of it got a no (second answer)?
 """
@@ -63,16 +64,16 @@ def _cuts(keys: np.ndarray, n: int) -> np.ndarray:
 
 def ask(home: int, questions: list[tuple], n: int) -> pa.Table:
     """questions: ("narrow", sorted distinct keys, twice here, anchor here), ("wide", keys, twice here), ("smaller", keys,
-    smallest owner here) or ("pair", outer keys, inner keys, twice here, inner known); the place in the list is the kind."""
+    smallest owner here), ("count", keys, times here) or ("pair", outer keys, inner keys, twice here, inner known); the place in the list is the kind."""
     rows: list[tuple] = []
     for kind, (what, keys, *more) in enumerate(questions):
         cut = _cuts(keys, n)
-        sent = keys
+        sent = (keys & U(0xFFFFFFFF)).astype(np.uint32) if what == "count" else keys
         if what in ("narrow", "pair"):
             sent = (((keys & U(0x3FFFFFFF)) << U(2)) | (more[-2].astype(U) << U(1)) | more[-1].astype(U)).astype(np.uint32)
         for b in np.flatnonzero(np.diff(cut)):
             part = slice(cut[b], cut[b + 1])
-            owners = np.packbits(more[0][part]).tobytes() if what == "wide" else _thin(more[0][part]) if what == "smaller" else more[0][part].tobytes() if what == "pair" else b""
+            owners = np.packbits(more[0][part]).tobytes() if what == "wide" else _thin(more[0][part]) if what == "smaller" else more[0][part].tobytes() if what == "pair" else more[0][part].astype(np.uint32).tobytes() if what == "count" else b""
             rows.append((int(b), home, kind, sent[part].tobytes(), owners))
     return table_of(rows, _ASK)
 
@@ -102,7 +103,7 @@ def replies(asked: DataFrame, kinds: list[str]) -> DataFrame:
             rows = table.filter(pc.equal(table["kind"], kind))
             what = kinds[kind]
             blobs = rows["keys"].to_pylist()
-            parts = [np.frombuffer(b, np.uint32 if what in ("narrow", "pair") else U) for b in blobs]
+            parts = [np.frombuffer(b, np.uint32 if what in ("narrow", "pair", "count") else U) for b in blobs]
             sizes = [len(p) for p in parts]
             keys = np.concatenate(parts)
             if what in ("narrow", "pair"):
@@ -113,6 +114,15 @@ def replies(asked: DataFrame, kinds: list[str]) -> DataFrame:
             order = np.argsort(keys, kind="stable") if inner is None else np.lexsort((inner, keys))
             k = keys[order]
             first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            if what == "count":
+                times = np.concatenate([np.frombuffer(b, np.uint32) for b in rows["owners"].to_pylist()]).astype(np.float64)[order]
+                level = np.empty(len(k), np.uint8)
+                level[order] = np.repeat(4 * np.log2(np.add.reduceat(times, first)), np.diff(np.append(first, len(k)))).astype(np.uint8)
+                at = 0
+                for home, s in zip(rows["home"].to_pylist(), sizes):
+                    out.append((home, bucket, kind, s, level[at:at + s].tobytes()))
+                    at += s
+                continue
             if what == "smaller":
                 own = np.concatenate([_wide(b) for b in rows["owners"].to_pylist()])[order]
                 least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(k))))
@@ -140,12 +150,15 @@ def replies(asked: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def read(table: pa.Table, kinds: list[str]) -> list[np.ndarray]:
-    """The bits of each question, in the order of the keys sent; two arrays for a pair."""
+    """The answers to each question, in the order of the keys sent; two arrays for a pair, small numbers for a count."""
     out = []
     table = table.sort_by([("kind", "ascending"), ("bucket", "ascending")])
     kind = table["kind"].to_numpy()
     size, blob = table["n"].to_pylist(), table["bits"].to_pylist()
     for k, what in enumerate(kinds):
+        if what == "count":
+            out.append(np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(blob[i], np.uint8) for i in np.flatnonzero(kind == k))]))
+            continue
         rows = 2 if what == "pair" else 1
         got = [np.unpackbits(np.frombuffer(blob[i], np.uint8), count=rows * size[i]).reshape(rows, size[i]) for i in np.flatnonzero(kind == k)]
         out += list(np.concatenate(got, 1).astype(bool)) if got else [np.zeros(0, bool)] * rows
@@ -157,3 +170,8 @@ def lookup(sent: np.ndarray, bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     if not len(sent):
         return np.zeros(len(h), bool)
     return bits[np.searchsorted(sent, h)]
+
+
+def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs."""
+    return np.unique(h, return_counts=True)

@@ -8,8 +8,9 @@ the smaller. So:
 1. Equal sets are one class, and only its smallest doc_id goes on.
 2. Under each of several independent orders (seeded hashes) every shingle of a prefix is asked for in the corpus; a document
    with too few repeated ones under any order has no partner and is done.
-3. Of the rest, the prefix of the first order is put rarest first and cut to where it must still share one token with a
-   partner. Documents that share such tokens, directly or through others, are a candidate group.
+3. Of the rest, each order's prefix is put rarest first and cut to where it must still share one token with a partner.
+   Documents that share such tokens, directly or through others, are a candidate group; each further order splits the groups
+   of those before it, since partners must be together under all of them.
 4. Within candidate groups, in blocks of bounded size that meet pairwise in tasks of their own, pairs must share enough
    prefix tokens under every order; exact intersections decide those. A task returns a spanning forest of its links and the
    number of links of each document, never its pairs.
@@ -32,7 +33,7 @@ from tapeworks.session import ensure_checkpoint_dir
 
 BLOCK = 256
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64())])
-_LEFT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("copies", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_LEFT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("copies", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.list_(pa.int64())))])
 
 
 def shingle_sets(column, k: int) -> list[np.ndarray]:
@@ -137,6 +138,15 @@ def _forest(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _split(group: DataFrame, keys: DataFrame) -> DataFrame:
+    """Groups of documents that share keys with another document of their group, directly or through others."""
+    held = keys.join(group, "doc_id").select("doc_id", F.xxhash64("group", "key").alias("key"))
+    least = held.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most").drop("most")
+    found = components(held.join(least, "key").select(F.col("doc_id").alias("a"), "b"))
+    found = found.select(F.col("node").alias("doc_id"), F.col("label").alias("group"))
+    return found.unionByName(found.select(F.col("group").alias("doc_id"), "group").distinct())
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, orders: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links (documents linked, equal ones included)."""
     ensure_checkpoint_dir(docs.sparkSession)
@@ -168,37 +178,40 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ord
         heads = [[prefix(s, o, t.prefix(len(s))) for _, _, s in some] for o in range(1, orders + 1)]
         return some, heads
 
+    kinds = ["count"] * orders
+
     def ask(key, table, right):
         _, heads = chosen(table, right)
         questions = []
         for h in heads:
-            keys, twice = X.distinct(np.concatenate(h or [np.zeros(0, U)]))
-            questions.append(("narrow", keys, twice, np.ones(len(keys), bool)))
+            questions.append(("count", *X.counted(np.concatenate(h or [np.zeros(0, U)]))))
         return X.ask(key[0].as_py(), questions, n)
 
     def survivors(key, table, right):
         some, heads = chosen(table, right)
-        bits = X.read(right.filter(pc.greater_equal(right["kind"], 0)), ["narrow"] * orders)
+        levels = X.read(right.filter(pc.greater_equal(right["kind"], 0)), kinds)
         sent = [np.unique(np.concatenate(h or [np.zeros(0, U)])) for h in heads]
         rows = []
         for at, (i, copies, s) in enumerate(some):
             size = len(s)
-            held = [X.lookup(sent[o], bits[o], heads[o][at]) for o in range(orders)]
-            if all(int(x.sum()) >= t.shared(size) for x in held):
-                repeated = heads[0][at][held[0]]
-                take = t.prefix(size) - t.shared(size) + 1 - int((~held[0]).sum())
-                rows.append((i, size, copies, s.tobytes(), repeated[:take].astype(np.int64).tolist()))
+            often = [X.lookup(sent[o], levels[o], heads[o][at]) for o in range(orders)]
+            if all(int((x > 0).sum()) >= t.shared(size) for x in often):
+                take = t.prefix(size) - t.shared(size) + 1
+                keys = []
+                for o in range(orders):
+                    rare = np.lexsort((heads[o][at], often[o]))[:take]
+                    keys.append(heads[o][at][rare[often[o][rare] > 0]].astype(np.int64).tolist())
+                rows.append((i, size, copies, s.tobytes(), keys))
         return X.table_of(rows, _LEFT)
 
     pad = [F.lit(None).cast("long").alias(c) for c in ("id", "copies")]
     asked = base.groupBy("home").cogroup(reps.groupBy("home")).applyInArrow(ask, X.ASK)
-    told = reps.unionByName(X.replies(asked, ["narrow"] * orders).select("*", *pad))
-    left = base.groupBy("home").cogroup(told.groupBy("home")).applyInArrow(survivors, "doc_id long, n long, copies long, tokens binary, keys array<long>").checkpoint()
+    told = reps.unionByName(X.replies(asked, kinds).select("*", *pad))
+    left = base.groupBy("home").cogroup(told.groupBy("home")).applyInArrow(survivors, "doc_id long, n long, copies long, tokens binary, keys array<array<long>>").checkpoint()
 
-    held = left.select("doc_id", F.explode("keys").alias("key"))
-    star = held.join(held.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most").drop("most"), "key").select(F.col("doc_id").alias("a"), "b").distinct()
-    group = components(star).select(F.col("node").alias("doc_id"), F.col("label").alias("group"))
-    group = group.unionByName(group.select("group").distinct().select(F.col("group").alias("doc_id"), "group"))
+    group = left.select("doc_id", F.lit(0).cast("long").alias("group"))
+    for order in range(orders):
+        group = _split(group, left.select("doc_id", F.explode(F.col("keys")[order]).alias("key")))
     blocks = group.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
     placed = group.join(blocks, "group").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
     placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))

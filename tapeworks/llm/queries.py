@@ -117,3 +117,40 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeworks.llm.op10_pll import pseudo_likelihood
 
     return pseudo_likelihood(documents(spark, sf_dir))
+
+
+@query("op5_preference_format", """
+WITH t AS (SELECT conv_id, turn, min(row(coalesce(role, 'unknown'), coalesce(text, ''))) AS s FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+turns AS (SELECT conv_id, turn, s[1] AS role, s[2] AS text FROM t),
+ends AS (SELECT conv_id, min(turn) FILTER (role = 'assistant') AS early, max(turn) FILTER (role = 'assistant') AS late, min(turn) AS first,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS said FROM turns GROUP BY conv_id),
+opening AS (SELECT conv_id, said, role || chr(10) || text AS o FROM turns JOIN ends USING (conv_id) WHERE turn = first),
+heads AS (SELECT o, min(conv_id) AS head, arg_min(said, conv_id) AS head_said FROM opening GROUP BY o HAVING count(*) > 1),
+pairs AS (SELECT 'opening-' || conv_id AS pair_id, CASE WHEN head_said >= said THEN head ELSE conv_id END AS good, CASE WHEN head_said >= said THEN conv_id ELSE head END AS bad
+  FROM opening JOIN heads USING (o) WHERE conv_id <> head),
+sides AS (
+  SELECT 'stale-' || conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM turns JOIN ends USING (conv_id) WHERE early < late AND turn <= late
+  UNION ALL SELECT 'stale-' || conv_id, 'rejected', turn, role, text FROM turns JOIN ends USING (conv_id) WHERE early < late AND turn < late
+  UNION ALL SELECT 'stale-' || conv_id, 'rejected', late, role, text FROM turns JOIN ends USING (conv_id) WHERE early < late AND turn = early
+  UNION ALL SELECT pair_id, 'chosen', turn, role, text FROM pairs JOIN turns ON conv_id = good
+  UNION ALL SELECT pair_id, 'rejected', turn, role, text FROM pairs JOIN turns ON conv_id = bad),
+m AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn FROM (SELECT * FROM sides WHERE side = 'chosen') c
+  FULL JOIN (SELECT * FROM sides WHERE side = 'rejected') r ON c.pair_id = r.pair_id AND c.turn = r.turn WHERE row(c.role, c.text) IS DISTINCT FROM row(r.role, r.text)),
+cut AS (SELECT pair_id, min(turn) AS cut FROM m GROUP BY pair_id)
+SELECT pair_id, CASE WHEN cut IS NULL OR turn < cut THEN 'prompt' ELSE side END AS part, turn, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
+  CASE WHEN turn >= cut AND role = 'assistant' THEN length(role) + 5 END AS loss_from
+FROM sides LEFT JOIN cut USING (pair_id) WHERE side = 'chosen' OR turn >= cut""")
+def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts and masked completions of stale replies and of conversations that open alike."""
+    from tapeworks.llm.op5_preference import preferences, same_openings, stale_replies
+
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return preferences(stale_replies(talks).unionByName(same_openings(talks)))
+
+
+@query("op6_soft_mixing")
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of documents that bring expected words of each domain to the targets."""
+    from tapeworks.llm.op6_mixing import mix
+
+    return mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
