@@ -11,6 +11,7 @@ result.
 """
 from __future__ import annotations
 
+import re
 from itertools import compress
 
 import numpy as np
@@ -25,8 +26,20 @@ from tapeworks.llm.hashing import covered, grams, texts, word_hashes
 SPAN = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the carried columns, n_words, n_removed, kept_text (words joined by one space) and spans (first and last word of each removed run)."""
+def _cut(text: bytes, edge: np.ndarray) -> bytes:
+    """The text without the runs of words between pairs of edges."""
+    if not len(edge):
+        return text
+    start = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)] + [len(text)]
+    at = [0, *(start[e] for e in edge), len(text)]
+    return b"".join(text[a:b] for a, b in zip(at[::2], at[1::2]))
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = (), spacing: bool = False) -> DataFrame:
+    """doc_id, the carried columns, n_words, n_removed, kept_text and spans (first and last word of each removed run).
+
+    kept_text joins the words by one space; with ``spacing`` it is the text as it was, without each removed word and the white
+    space after it."""
     block, n = (window + 1) // 2, X.width(docs)
     base = X.homed(docs, ["doc_id", "text", *carry])
 
@@ -69,7 +82,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = (
             edge = np.flatnonzero(np.diff(np.concatenate(([0], own, [0])))) if own.any() else np.zeros(0, int)
             spans.append([{"first": a, "last": b - 1} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())])
             removed.append(int(own.sum()))
-            kept.append(b" ".join(compress(words, (~own).tolist()) if len(edge) else words).decode("utf-8", "replace"))
+            if spacing:
+                kept.append(_cut(text or b"", edge).decode("utf-8", "replace") if len(edge) or text is not None else None)
+            else:
+                kept.append(b" ".join(compress(words, (~own).tolist()) if len(edge) else words).decode("utf-8", "replace"))
         more = {"n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string()), "spans": pa.array(spans, SPAN)}
         return pa.table({c: table[c] for c in ("doc_id", *carry)} | more)
 

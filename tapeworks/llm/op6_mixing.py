@@ -107,12 +107,13 @@ def rates(members: DataFrame, shares: list[float], budget: float) -> Column:
     held = [max((x or 0.0) / words, 1e-6) for x in sums[1:]]
     even = budget
     step = 1 / (1 + PULL)
-    rate = F.lit(even)
+    rate, before = F.lit(even), None
     for _ in range(ITERATIONS):
         got = cells.agg(*[F.sum(F.col("n") * F.col(f"p{i}") * rate) for i in range(k)]).first()
         gap = [(x or 0.0) / words - s * budget for x, s in zip(got, shares)]
-        if max(abs(g) for g in gap) < CLOSE * budget:
-            break
+        if max(abs(g) for g in gap) < CLOSE * budget or before and max(abs(g - b) for g, b in zip(gap, before)) < CLOSE * budget / 10:
+            break  # at the targets, or at the nearest point to them
+        before = gap
         slope = reduce(lambda a, b: a + b, [F.col(f"p{i}") * (step * gap[i] / held[i]) for i in range(k)])
         rate = F.greatest(F.lit(0.0), rate * (1 - step * PULL) + step * PULL * even - slope)
     return rate

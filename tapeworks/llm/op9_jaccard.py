@@ -31,7 +31,7 @@ from tapeworks.llm.components import components
 from tapeworks.llm.hashing import GRAM_BASE, U, RangeHash, grams, mix, texts, word_hashes
 from tapeworks.session import ensure_checkpoint_dir
 
-BLOCK = 256
+BLOCK = 512
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64())])
 _LEFT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("copies", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.list_(pa.int64())))])
 
