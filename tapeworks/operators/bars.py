@@ -21,9 +21,35 @@ def bar_start(freq: str, ts: str = "ts") -> Column:
     return F.window(F.col(ts), freq)["start"]
 
 
-def trade_bars(df: DataFrame, freq: str, *, keys: Sequence[str] = ("symbol",), ts: str = "ts",
-               price: str = "price", volume: str = "volume", tie: Sequence[str] = ()) -> DataFrame:
-    order = F.struct(ts, *tie)
+def packed(*parts: tuple[Column | str, int]) -> Column:
+    """One exact number that sorts like the parts, non-negative integers with their digits, 38 digits in all.
+
+    Minima and maxima by a number fit in a hash aggregate; by a struct they make Spark sort all rows first.
+    """
+    digits = [n for _, n in parts]
+    if sum(digits) > 38:
+        raise ValueError(f"{sum(digits)} digits don't fit in 38")
+    out = None
+    for i, (c, _) in enumerate(parts):
+        part = (F.col(c) if isinstance(c, str) else c).cast("decimal(19,0)")
+        unit = sum(digits[i + 1:])
+        part = (part * F.lit("1" + "0" * unit).cast(f"decimal({unit + 1},0)")).cast("decimal(38,0)") if unit else part.cast("decimal(38,0)")
+        out = part if out is None else (out + part).cast("decimal(38,0)")
+    return out
+
+
+def time_order(ts: str = "ts", tie: Sequence[str] = ()) -> Column:
+    """Order by time and ties: one number for at most one tie, a long, and a struct for more."""
+    if len(tie) > 1:
+        return F.struct(ts, *tie)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    return packed((micros, 19), (tie[0], 19)) if tie else micros
+
+
+def trade_bars(df: DataFrame, freq: str, *, keys: Sequence[str] = ("symbol",), ts: str = "ts", price: str = "price",
+               volume: str = "volume", tie: Sequence[str] = (), order: Column | None = None) -> DataFrame:
+    """OHLCV bars. ``order`` says which trade of a bar is first and last, by default time and ties; a number keeps the aggregate hashed."""
+    order = time_order(ts, tie) if order is None else order
     return (df.groupBy(*keys, F.window(ts, freq).alias("_w"))
               .agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
                    F.max_by(price, order).alias("close"), F.sum(volume).alias("volume"),
@@ -34,7 +60,7 @@ def trade_bars(df: DataFrame, freq: str, *, keys: Sequence[str] = ("symbol",), t
 def resample_last(df: DataFrame, freq: str, value: str = "close", *, keys: Sequence[str] = ("symbol",),
                   ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
     """Last non-null value per bar; bars without one are absent."""
-    order = F.struct(ts, *tie)
+    order = time_order(ts, tie)
     return (df.where(F.col(value).isNotNull()).groupBy(*keys, F.window(ts, freq).alias("_w"))
               .agg(F.max_by(value, order).alias(value))
               .select(*keys, F.col("_w.start").alias("ts"), value))

@@ -244,7 +244,7 @@ def encode_categories(df: DataFrame, cols: Sequence[str], max_onehot: int = 10)
     """One-hot under ``max_onehot`` categories, else label index; unseen values keep their own slot."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    card = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    card = df.agg(*[F.countDistinct(c).alias(c) for c in cols]).first()
     idx = StringIndexer(inputCols=list(cols), outputCols=[f"{c}_index" for c in cols], handleInvalid="keep",
                         stringOrderType="frequencyDesc")
     hot = [c for c in cols if card[c] <= max_onehot]

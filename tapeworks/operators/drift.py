@@ -72,7 +72,7 @@ def jensen_shannon(base: DataFrame, cur: DataFrame, cols: Sequence[str], bins: i
     return _divergence(d, half, 0.0, "_js").select("feature", F.sqrt(F.greatest("_js", F.lit(0.0))).alias("js")).withColumn("drifted", (F.col("js") > .1).cast("int"))
 
 
-def chi_square(base: DataFrame, cur: DataFrame, col: str, max_categories: int = 50) -> DataFrame:
+def chi_square(base: DataFrame, cur: DataFrame, col: str) -> DataFrame:
     """Current counts against baseline shares. Categories absent from the baseline get half a count."""
     b = base.groupBy(col).agg(F.count(F.lit(1)).alias("_b"))
     c = cur.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
@@ -80,7 +80,7 @@ def chi_square(base: DataFrame, cur: DataFrame, col: str, max_categories: int =
     tot = j.agg(F.struct(F.sum("_b").alias("b"), F.sum("_c").alias("c")).alias("t")).scalar()
     j = j.withColumn("_t", tot).withColumn("_e", F.greatest(F.col("_b"), F.lit(0.5)) / F.col("_t.b") * F.col("_t.c"))
     g = j.agg(F.sum((F.col("_c") - F.col("_e")) ** 2 / F.col("_e")).alias("chi2"), (F.count(F.lit(1)) - 1).cast("int").alias("dof"))
-    return g.where(F.col("dof") < max_categories).withColumn("p", chi2_sf_any("chi2", "dof"))
+    return g.withColumn("p", chi2_sf_any("chi2", "dof"))
 
 
 def join_full(a: DataFrame, b: DataFrame, col: str) -> DataFrame:

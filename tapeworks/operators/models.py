@@ -28,7 +28,10 @@ def pipeline(kind: str, cols: Sequence[str], label: str, params: Mapping | None
 
 
 def train(df: DataFrame, kind: str, cols: Sequence[str], label: str, params: Mapping | None = None):
-    return pipeline(kind, cols, label, params).fit(df)
+    """Fitted on the rows that have all features and the label; scoring keeps every row it is given, features missing as NaN."""
+    model = pipeline(kind, cols, label, params).fit(df.dropna(subset=[*cols, label]))
+    model.stages[0].setHandleInvalid("keep")
+    return model
 
 
 def select_model(df: DataFrame, kinds: Sequence[str], cols: Sequence[str], label: str, fold: str, metric: str = "rmse", params: Mapping | None = None) -> DataFrame:

@@ -61,7 +61,7 @@ def interaction_block(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def polynomial_block(df: DataFrame, cols: Sequence[str], degree: int = 2, out: str = "poly") -> DataFrame:
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-    st = [VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip"), PolynomialExpansion(degree=degree, inputCol="_v", outputCol=out)]
+    st = [VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="keep"), PolynomialExpansion(degree=degree, inputCol="_v", outputCol=out)]
     return Pipeline(stages=st).fit(df).transform(df).drop("_v")
 
 

@@ -300,15 +300,29 @@ def black_scholes(s, k, t, r, sigma, kind) -> dict[str, Column]:
     return {"price": price, "delta": F.when(call, norm_cdf(d1)).otherwise(-norm_sf(d1)), "gamma": pdf / (s * sq), "vega": s * pdf * F.sqrt(t), "theta": theta}
 
 
+def normal_cdf(x: np.ndarray) -> np.ndarray:
+    """Normal distribution function of a whole array: the series of the error function near zero, its continued fraction beyond."""
+    z = np.minimum(np.abs(x) / math.sqrt(2), 27.0)
+    near = np.where(z < 2.5, z, 0.0)
+    term, series = near.copy(), near.copy()
+    for k in range(1, 40):
+        term = -term * near * near / k
+        series = series + term / (2 * k + 1)
+    far = np.maximum(z, 2.5)
+    below = far.copy()
+    for k in range(60, 0, -1):
+        below = far + k / 2 / below
+    tail = np.where(z < 2.5, 1 - 2 / math.sqrt(math.pi) * series, np.exp(-far * far) / below / math.sqrt(math.pi)) / 2
+    return np.where(np.isnan(x), np.nan, np.where(x > 0, 1 - tail, tail))
+
+
 def implied_volatility(price: str, s: str, k: str, t: str, r: str, kind: str) -> Column:
     """Vectorized Newton with bisection fallback over Arrow batches; null outside arbitrage bounds."""
-    erfc = np.vectorize(math.erfc)
-
     @F.pandas_udf("double")
     def solve(price: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, kind: pd.Series) -> pd.Series:
         P, S, K, T, Rr = (x.to_numpy(dtype=float) for x in (price, s, k, t, r))
         call = kind.to_numpy() == "call"
-        cdf = lambda x: 0.5 * erfc(-x / math.sqrt(2)) if len(x) else x
+        cdf = normal_cdf
         disc = K * np.exp(-Rr * T)
         floor_, cap = np.where(call, np.maximum(S - disc, 0), np.maximum(disc - S, 0)), np.where(call, S, disc)
         lo, hi, v = np.full(len(P), 1e-6), np.full(len(P), 10.0), np.full(len(P), 0.5)

@@ -39,7 +39,7 @@ def _(s, d):
     return docs(s, d).select("doc_id", F.md5(T.normalize_unicode("text")).alias("digest"))
 
 
-@query("text_threat_flags", "SELECT page_id, " + ", ".join(f"CAST(regexp_matches(html, '{q(p)}') AS INTEGER) AS threat_{n}" for n, p in T.THREATS.items()) + ", CAST(" + "+".join(f"contains(lower(html), '{t}')::INT" for t in T.SCAM_TERMS) + " >= 3 AS INTEGER) AS threat_scam FROM pages")
+@query("text_threat_flags", "SELECT page_id, " + ", ".join(f"CAST(regexp_matches(html, '{q(p)}') AS INTEGER) AS threat_{n}" for n, p in T.THREATS.items()) + ", CAST(" + "+".join(f"contains(lower(html), '{t}')::INT" for t in T.PRESSURE_TERMS) + " >= 3 AS INTEGER) AS threat_pressure FROM pages")
 def _(s, d):
     return A.table(s, d, "pages").select("page_id", *T.threat_flags("html"))
 
@@ -236,11 +236,11 @@ def _(s, d):
     return f.select("symbol", "ts", rd("index").alias("index"), rd("confidence", 6).alias("confidence"), "n_components", "label")
 
 
-_NS = "regexp_replace(regexp_replace(text, '" + T.URL + r"', ' ', 'g'), '@\w+', ' ', 'g')"
-for _p, _r in ((r"\b0x[a-fA-F0-9]{64}\b", "[TX]"), (r"\b0x[a-fA-F0-9]{40}\b", "[ADDRESS]"), (r"\$([A-Z]{2,10})", r"[TICKER_\1]"), (r"#(\w+)", r"[HASHTAG_\1]"), (r"\$(\d+(?:[.,]\d+)?[KMB]?)", r"[PRICE_\1]"), (r"([+-]?\d+(?:\.\d+)?%)", r"[PERCENT_\1]"), *((rf"(?i)\b{k}\b", v) for k, v in T.SLANG.items())):
-    _NS = f"regexp_replace({_NS}, '{_p}', '{_r}', 'g')"
+_NS = "text"
+for _p, _r in (*T.SOCIAL_TAGS, *((rf"(?i)\b{k}\b", v) for k, v in T.SHORT_FORMS.items())):
+    _NS = f"regexp_replace({_NS}, '{_p}', '{_r.replace('$1', chr(92) + '1')}', 'g')"
 
 
-@query("text_social_normalize", f"SELECT doc_id, md5(substr(trim(regexp_replace({_NS}, '\\s+', ' ', 'g')), 1, 512)) AS digest FROM documents")
+@query("text_social_normalize", f"SELECT doc_id, md5(trim(regexp_replace({_NS}, '\\s+', ' ', 'g'))) AS digest FROM documents")
 def _(s, d):
     return docs(s, d).select("doc_id", F.md5(T.normalize_social("text")).alias("digest"))

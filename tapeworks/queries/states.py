@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from tapeworks.plans.panel import Panel
 from tapeworks.queries import query
 from tapeworks.queries.common import BARS, R, RS, rcols, rd
 from tapeworks.queries.indicators import win
+from tapeworks.session import ensure_checkpoint_dir
 from tapeworks.sources import adapters as A
 
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -90,8 +90,8 @@ def _(s, d):
 
 @query("state_indicator_table", f"WITH {RB} SELECT symbol, ts, {R('close')}, {R('CASE WHEN rn>=20 THEN avg(close) OVER w20 END', 'sma_20')} FROM nb {win(20)}")
 def _(s, d):
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeworks-ind-")
-    path = os.path.join(base, f"indicator-table-{s.sparkContext.applicationId}-{abs(hash(d))}")
+    ensure_checkpoint_dir(s)
+    path = os.path.join(s.sparkContext.getCheckpointDir(), f"indicator-table-{s.sparkContext.applicationId}-{abs(hash(d))}")
     bars = region_bars(s, d)
     I.write_indicator_table(bars, path)
     t = I.lookup_indicators(s, path, bars.select("symbol", "ts"))

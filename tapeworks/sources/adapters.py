@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.operators.bars import trade_bars
+from tapeworks.operators.bars import packed, trade_bars
 
 TRADE_TIE = ("order_id", "line_no", "item_id")
 
@@ -51,7 +51,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trade_bars(trades(spark, sf_dir), "1 day", tie=TRADE_TIE)
+    within_day = F.unix_micros("ts") % 86_400_000_000
+    return trade_bars(trades(spark, sf_dir), "1 day", order=packed((within_day, 11), ("order_id", 13), ("line_no", 3), ("item_id", 11)))
 
 
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,6 @@ Spark's own, so a hot key is combined before the shuffle; keyed state sees bars,
 """
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapeworks.functions import text as T
+from tapeworks.session import ensure_checkpoint_dir
 
 
 def read_files(spark: SparkSession, path: str, schema: str, pattern: str = "*.parquet", max_files: int | None = None, fmt: str = "parquet") -> DataFrame:
@@ -31,11 +31,9 @@ def drain_to(stream: DataFrame, mode: str = "append", folder: str | None = None)
     The folder must be shared storage on a cluster: it defaults to the checkpoint folder the cluster names.
     """
     spark = stream.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("name a shared folder for stream output")
-        base = tempfile.mkdtemp(prefix="tapeworks-stream-")
+    if folder is None:
+        ensure_checkpoint_dir(spark)
+    base = folder or spark.sparkContext.getCheckpointDir()
     out = f"{base.rstrip('/')}/run-{spark.sparkContext.applicationId}-{abs(hash((id(stream), stream.schema.simpleString())))}-{pd.Timestamp.now().value}"
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()
