@@ -218,3 +218,32 @@ def test_pair_alignment_is_listwise(spark):
     d = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 2.0), ("a", 2, 3.0), ("c", 1, 5.0)], "symbol string, ts int, v double")
     r = align_pairs(d, pair_table(spark, all_pairs(["a", "b", "c"])), ["v"]).collect()
     assert sorted((x.a, x.b, x.ts) for x in r) == [("a", "b", 1), ("a", "c", 1), ("b", "c", 1)]
+
+
+def test_nothing_is_cut_or_dropped(spark):
+    """Long texts, many categories and null features keep their rows."""
+    from tapeworks.functions import text as T
+    from tapeworks.operators import drift, models, rolling
+
+    long = "word " * 5000 + "#end"
+    r = spark.createDataFrame([(long,)], "t string").select(T.normalize_social("t").alias("x"), T.is_valid_text("t").alias("ok")).first()
+    assert r["x"].endswith("<topic end>") and len(r["x"]) > 25_000 and r["ok"]
+    cat = spark.range(600).select((F.col("id") % 60).cast("string").alias("c"))
+    chi = drift.chi_square(cat, cat, "c").first()
+    assert chi["dof"] == 59 and abs(chi["chi2"]) < 1e-9
+    d = spark.range(40).select(F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("x"), (F.col("id") * 2.0).alias("y"))
+    assert models.train(d, "linear", ["x"], "y").transform(d).count() == 40
+    assert rolling.polynomial_block(d, ["x", "y"]).count() == 40
+
+
+def test_bar_order_is_exact(spark):
+    from tapeworks.operators.bars import packed, trade_bars
+
+    t = spark.createDataFrame([("a", 1, 3, 10.0), ("a", 1, 2, 20.0), ("a", 1, 10, 30.0), ("a", 0, 99, 40.0)], "symbol string, s long, trade_id long, price double")
+    t = t.select("symbol", F.timestamp_seconds("s").alias("ts"), "trade_id", "price", F.lit(1.0).alias("volume"))
+    bar = trade_bars(t, "1 hour", tie=("trade_id",))
+    assert tuple(bar.select("open", "close", "n_trades").first()) == (40.0, 30.0, 4)
+    assert "SortAggregate" not in bar._jdf.queryExecution().executedPlan().toString()
+    assert [r[0] for r in t.orderBy(packed(("trade_id", 13))).select("trade_id").collect()] == [2, 3, 10, 99]
+    with pytest.raises(ValueError):
+        packed(("trade_id", 20), ("trade_id", 19))
