@@ -2,7 +2,8 @@
 
 Rows are first collapsed to (key, distinct value, count) with map-side combining, so
 a value shared by a third of the rows costs one row. The distinct values are cut into
-blocks by sketched quantile edges (balanced for any distribution), block totals are
+blocks by sketched quantile edges (balanced for any distribution; as many as the size of
+the table asks for), block totals are
 prefix-summed on a table of at most ``blocks`` rows per key, and a running count inside
 each block completes the global cumulative count. Quantiles, medians, average ranks and
 two-sample distribution distances all read from that one table.
@@ -14,11 +15,25 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.plans.panel import join_on
+from tapeworks.plans.panel import TARGET, join_on, size_estimate
+
+
+def block_count(df: DataFrame) -> int:
+    """Blocks of about ``TARGET`` rows by the optimizer's estimate of the table, 32 at least."""
+    return min(4096, max(32, size_estimate(df) // TARGET + 1))
+
+
+def _edges_below(edges: Column, value: Column, blocks: int) -> Column:
+    """How many of the sorted edges lie below a value; many edges are searched in two steps."""
+    if blocks <= 64:
+        return F.size(F.filter(edges, lambda e: e < value))
+    step = int(blocks ** 0.5)
+    coarse = F.size(F.filter(edges, lambda e, i: (i % step == step - 1) & (e < value))) * step
+    return coarse + F.size(F.filter(F.slice(edges, coarse + 1, F.lit(step)), lambda e: e < value))
 
 
 def cumulative_counts(df: DataFrame, value: Column, keys: Sequence[str] = (),
-                      weights: Mapping[str, Column] | None = None, blocks: int = 32) -> DataFrame:
+                      weights: Mapping[str, Column] | None = None, blocks: int | None = None) -> DataFrame:
     """(keys, _v, <w>, cum_<w>, tot_<w>) per distinct non-null, non-NaN value.
 
     ``weights`` maps a name to the per-row weight to total (default ``n`` = 1 per row).
@@ -29,15 +44,16 @@ def cumulative_counts(df: DataFrame, value: Column, keys: Sequence[str] = (),
     d = (df.select(*keys, value.cast("double").alias("_v"), *[w.alias(n) for n, w in weights.items()])
            .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
            .groupBy(*keys, "_v").agg(*[F.sum(n).alias(n) for n in names]))
-    probs = [i / blocks for i in range(1, blocks)]
-    edges_of = F.percentile_approx("_v", F.array(*[F.lit(p) for p in probs]), F.lit(1000))
+    blocks = blocks or block_count(df)
+    probs = F.split(F.lit(",".join(repr(i / blocks) for i in range(1, blocks))), ",").cast("array<double>")
+    edges_of = F.percentile_approx("_v", probs, F.lit(max(1000, 10 * blocks)))
     if keys:
         d = join_on(d, d.groupBy(*keys).agg(edges_of.alias("_edges")), keys)
         edges = F.col("_edges")
     else:
         d = d.withColumn("_edges", d.agg(edges_of.alias("_edges")).scalar())
         edges = F.col("_edges")
-    d = d.withColumn("_blk", F.size(F.filter(edges, lambda e: e < F.col("_v")))).drop("_edges")
+    d = d.withColumn("_blk", _edges_below(edges, F.col("_v"), blocks)).drop("_edges")
     totals = d.groupBy(*keys, "_blk").agg(*[F.sum(n).alias(f"_b_{n}") for n in names])
     # at most `blocks` rows per key from here on
     up_to = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,7 +69,7 @@ def cumulative_counts(df: DataFrame, value: Column, keys: Sequence[str] = (),
 
 
 def quantiles(df: DataFrame, value: Column, probs: Mapping[str, float], keys: Sequence[str] = (),
-              blocks: int = 32) -> DataFrame:
+              blocks: int | None = None) -> DataFrame:
     """Linear-interpolated exact quantiles, one row per key; also ``n``."""
     c = cumulative_counts(df, value, keys, blocks=blocks)
     start, cum, tot = F.col("cum_n") - F.col("n"), F.col("cum_n"), F.col("tot_n")

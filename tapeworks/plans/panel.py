@@ -75,15 +75,47 @@ def hour_bucket(ts: str = "ts") -> Column:
     return F.date_trunc("hour", F.col(ts))
 
 
+#: rows that one window partition should hold at most
+TARGET = 2_000_000
+
+
+def size_estimate(df: DataFrame) -> int:
+    """Rows by the optimizer's estimate of bytes, no job: an upper bound for plain scans and filters."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(stats.sizeInBytes()) // (8 * max(1, len(df.columns)))
+
+
+def sized(df: DataFrame, panel: Panel, bucket: Column) -> Column:
+    """The bucket, cut finer by the leading order column until no (key, bucket) holds more than ``TARGET`` rows.
+
+    Small tables keep the bucket by the optimizer's estimate alone. Larger ones are counted: a bucket with too many rows is
+    cut into steps of time (or of a number), each round a quarter of the last, down to single values of the column.
+    """
+    kind = dict(df.dtypes)[panel.order[0]]
+    if size_estimate(df) <= TARGET or not (kind.startswith("timestamp") or kind in ("int", "bigint")):
+        return bucket
+    x = F.unix_micros(F.col(panel.order[0]).cast("timestamp")) if kind.startswith("timestamp") else F.col(panel.order[0]).cast("bigint")
+    fine, step = bucket, None
+    while True:
+        most = df.groupBy(*panel.keys, fine.alias("_bkt")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= TARGET or step == 1:
+            return fine
+        if step is None:
+            low, high = df.agg(F.min(x), F.max(x)).first()
+            step = max(4, int(high - low) // 4096)
+        step = max(1, step // 4)
+        fine = F.struct(bucket.alias("b"), F.floor(x / step).alias("f"))
+
+
 def number_rows(df: DataFrame, panel: Panel, bucket: Column, name: str = "_rn") -> DataFrame:
     """Exact 1-based position of each row within its key, without one task per key.
 
     ``bucket`` is any non-decreasing function of the leading order column. Counts per
     (key, bucket) are map-side combined, prefix-summed on the small bucket table and
-    added to a row_number inside the bucket.
+    added to a row_number inside the bucket. A bucket that holds too many rows is cut (``sized``).
     """
     k = list(panel.keys)
-    d = df.withColumn("_bkt", bucket)
+    d = df.withColumn("_bkt", sized(df, panel, bucket))
     counts = d.groupBy(*k, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*k).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*k, "_bkt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
@@ -125,7 +157,7 @@ def running(df: DataFrame, panel: Panel, specs: Mapping[str, tuple[str, Column]]
     windows. ``reverse`` scans from the end (``last`` then means "next non-null").
     """
     k = list(panel.keys)
-    d = df.withColumn("_bkt", bucket)
+    d = df.withColumn("_bkt", sized(df, panel, bucket))
     names = list(specs)
     for n in names:
         d = d.withColumn(f"_x_{n}", specs[n][1])

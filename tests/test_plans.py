@@ -101,3 +101,24 @@ def test_skewed_key_spreads_over_tasks(spark, tape):
     seen = on_chunks(tape, P, lambda d, p: d.withColumn("c", F.col("_chunk")), bucket=day_bucket(), before=2, rows=100)
     sizes = seen.where("symbol = 'hot'").groupBy("c").count().toPandas()["count"]
     assert sizes.max() <= 100 and len(sizes) > 5
+
+
+def test_hot_buckets_are_cut_by_count(spark, monkeypatch):
+    """One key, one day, most rows: positions and sums stay exact and no bucket holds more than the target."""
+    from tapeworks.plans import panel as plans
+
+    monkeypatch.setattr(plans, "TARGET", 50)
+    d = spark.range(900).select(F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("symbol"),
+                                (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=(F.col("id") * F.col("id") / 12.0).cast("decimal(18,6)"))).alias("ts"), "id")
+    p = Panel(("symbol",), ("ts", "id"))
+    fine = plans.sized(d, p, day_bucket())
+    assert d.groupBy("symbol", fine.alias("b")).count().agg(F.max("count")).first()[0] <= 50
+    got = running(number_rows(d, p, day_bucket(), "pos"), p, {"total": ("sum", F.col("id"))}, day_bucket()).toPandas().sort_values("id")
+    for _, g in got.groupby("symbol"):
+        assert (g.pos.to_numpy() == range(1, len(g) + 1)).all() and (g.total == g.id.cumsum()).all()
+
+
+def test_many_blocks(spark):
+    d = spark.range(3000).select((F.col("id") * 7919 % 1009 / 3.0).alias("x"))
+    few, many = (cumulative_counts(d, F.col("x"), blocks=b).select("_v", "cum_n", "tot_n").toPandas().sort_values("_v").reset_index(drop=True) for b in (32, 400))
+    assert few.equals(many)
