@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tapeworks.llm.hashing import lower, slices, texts
 from tapeworks.llm.learning import held_out, sample
@@ -255,8 +256,10 @@ def fit(docs: list[tuple[int, bytes]]) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
     """docs: doc_id and text, all of which may be learned from; labels: doc_id and toxic (0, 1 or null)."""
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg({"toxic": "max"}).withColumnRenamed("max(toxic)", "toxic")
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(known, "doc_id")
-    got = sorted((int(r["doc_id"]), int(r["toxic"]), r["text"].encode("utf-8", "replace")) for r in sample(rows, "toxic", most).collect())
+    labelled = known.join(docs.where("text IS NOT NULL").select("doc_id"), "doc_id").select("doc_id", "toxic")
+    picked = F.broadcast(sample(labelled, "toxic", most))  # ids only, bounded by ``most``, so texts needn't move
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(picked, "doc_id")
+    got = sorted((int(r["doc_id"]), int(r["toxic"]), r["text"].encode("utf-8", "replace")) for r in rows.collect())
     return fit([(y, t) for _, y, t in got])
 
 
