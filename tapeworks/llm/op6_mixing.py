@@ -3,8 +3,8 @@
 A naive Bayes classifier over hashed words is fitted on a bounded sample of labelled documents (about ``most`` of each domain at
 most) and gives every document a posterior over the domains, tempered to minimize the sample's log loss. A document of n words
 with rate r is expected to give r * n * posterior words to each domain. Non-negative rates are fitted by projected gradient
-descent to the least squares of expected against target words, each domain weighted by its present share, with a small pull
-to the even rate. Posteriors are kept in steps of 1 / STEPS, so documents with one posterior have one rate, each iteration is a
+descent from the even rate to the least squares of expected against target words; the gradient is scaled by the second moments
+of the posteriors of documents with a positive rate, as weighted by words, so few iterations do. Posteriors are kept in steps of 1 / STEPS, so documents with one posterior have one rate, each iteration is a
 sum over at most that many cells, and the driver holds only the domains' sums.
 
 Null and empty texts have no words, the prior as posterior and the rate that belongs to it; without labelled rows every domain is
@@ -23,7 +23,7 @@ from tapeworks.llm.learning import sample
 from tapeworks.llm.op1_outliers import let
 from tapeworks.session import ensure_checkpoint_dir
 
-BUCKETS, STEPS, PULL, ITERATIONS, CLOSE = 16_384, 64, 0.001, 80, 1e-4
+BUCKETS, STEPS, RIDGE, ITERATIONS, CLOSE = 4_096, 64, 0.05, 24, 1e-4
 TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 #: target share of words and the rule of each domain, over the labels' columns
 DOMAINS = {"clean": (0.85, "toxic = 0 AND quality = 1"), "junk": (0.1, "toxic = 0 AND quality = 0"), "toxic": (0.05, "toxic = 1")}
@@ -45,7 +45,7 @@ class Classifier:
 
     def evidence(self, text: Column) -> Column:
         """Number of words and, for each domain after the first, the mean of its word weights times the root of that number."""
-        tables = [F.split(F.lit(",".join(f"{x:.4f}" for x in w)), ",").cast("array<double>") for w in self.weights]
+        tables = [F.split(F.lit(",".join(f"{x:.2f}" for x in w)), ",").cast("array<double>") for w in self.weights]
 
         def summed(buckets: Column, table: Column) -> Column:
             return F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.get(table, b))
@@ -66,8 +66,9 @@ def fit(docs: DataFrame, labels: DataFrame, domains: dict[str, tuple[float, str]
     names = list(domains)
     rule = reduce(lambda a, x: a.when(F.expr(domains[x[1]][1]), F.lit(x[0])), list(enumerate(names))[1:], F.when(F.expr(domains[names[0]][1]), F.lit(0)))
     known = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).select("doc_id", rule.alias("domain")).where("domain IS NOT NULL")
-    labelled = docs.where("text IS NOT NULL").select("doc_id", "text").join(known, "doc_id")
-    drawn = sample(labelled, "domain", most).select("domain", "text").checkpoint()
+    labelled = known.join(docs.where("text IS NOT NULL").select("doc_id"), "doc_id").select("doc_id", "domain").checkpoint()
+    picked = sample(labelled, "domain", most)  # ids only, bounded by ``most`` and the number of domains, so texts needn't move
+    drawn = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("domain", "text").checkpoint()
     counts = drawn.select("domain", F.explode(F.transform(_words(F.col("text")), _bucket)).alias("bucket")).groupBy("domain", "bucket").agg(F.count("*").alias("n")).collect()
     size = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = [sum(r["n"] for r in counts if r["domain"] == d) for d in range(len(names))]
@@ -98,24 +99,37 @@ def memberships(docs: DataFrame, model: Classifier, carry: tuple[str, ...] = ())
     return out.withColumn("p0", F.greatest(rest, F.lit(0.0)))
 
 
+def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """Solution of a small symmetric positive system."""
+    rows = [[*m, r] for m, r in zip(matrix, right)]
+    for i, pivot in enumerate(rows):
+        for row in rows[i + 1:]:
+            f = row[i] / pivot[i]
+            row[i:] = [x - f * y for x, y in zip(row[i:], pivot[i:])]
+    out = [0.0] * len(rows)
+    for i in reversed(range(len(rows))):
+        out[i] = (rows[i][-1] - sum(rows[i][j] * out[j] for j in range(i + 1, len(rows)))) / rows[i][i]
+    return out
+
+
 def rates(members: DataFrame, shares: list[float], budget: float) -> Column:
     """The fitted rate as an expression over p0... budget: target words over all words of the table."""
     k = len(shares)
-    cells = members.where("n_words > 0").groupBy(*[f"p{i}" for i in range(k)]).agg(F.sum("n_words").cast("double").alias("n")).checkpoint()
-    sums = cells.agg(F.sum("n"), *[F.sum(F.col("n") * F.col(f"p{i}")) for i in range(k)]).first()
-    words = sums[0] or 1.0
-    held = [max((x or 0.0) / words, 1e-6) for x in sums[1:]]
-    even = budget
-    step = 1 / (1 + PULL)
-    rate, before = F.lit(even), None
+    p = [F.col(f"p{i}") for i in range(k)]
+    cells = members.where("n_words > 0").groupBy(*[f"p{i}" for i in range(k)]).agg(F.sum("n_words").cast("double").alias("n")).coalesce(1).checkpoint()
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    rate, before = F.lit(float(budget)), None
     for _ in range(ITERATIONS):
-        got = cells.agg(*[F.sum(F.col("n") * F.col(f"p{i}") * rate) for i in range(k)]).first()
-        gap = [(x or 0.0) / words - s * budget for x, s in zip(got, shares)]
+        held = cells.withColumn("rate", rate).withColumn("live", F.when(F.col("rate") > 0, F.col("n")).otherwise(0.0))
+        got = held.agg(F.sum("n"), *[F.sum(F.col("n") * F.col("rate") * x) for x in p], *[F.sum(F.col("live") * p[i] * p[j]) for i, j in pairs]).first()
+        words = got[0] or 1.0
+        gap = [(x or 0.0) / words - s * budget for x, s in zip(got[1:k + 1], shares)]
         if max(abs(g) for g in gap) < CLOSE * budget or before and max(abs(g - b) for g, b in zip(gap, before)) < CLOSE * budget / 10:
             break  # at the targets, or at the nearest point to them
         before = gap
-        slope = reduce(lambda a, b: a + b, [F.col(f"p{i}") * (step * gap[i] / held[i]) for i in range(k)])
-        rate = F.greatest(F.lit(0.0), rate * (1 - step * PULL) + step * PULL * even - slope)
+        moment = {ij: (x or 0.0) / words for ij, x in zip(pairs, got[k + 1:])}
+        full = [[moment[max(i, j), min(i, j)] + (RIDGE * max(moment[i, i], 1e-4) if i == j else 0.0) for j in range(k)] for i in range(k)]
+        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [x * w for x, w in zip(p, _solve(full, gap))]))
     return rate
 
 

@@ -107,7 +107,7 @@ def test_op10_learns_the_corpus(spark):
 
 
 def test_op6_rates_reach_targets(spark, odd, none, labels):
-    from tapeworks.llm.op6_mixing import DOMAINS, STEPS, Classifier, memberships, mix
+    from tapeworks.llm.op6_mixing import BUCKETS, DOMAINS, STEPS, Classifier, memberships, mix
 
     docs, marks = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     got = mix(docs, marks, budget=0.5).toPandas()
@@ -117,7 +117,7 @@ def test_op6_rates_reach_targets(spark, odd, none, labels):
     assert (got.rate >= 0).all() and (abs(got[[f"p_{d}" for d in DOMAINS]].sum(axis=1) - 1) < 1e-9).all() and len(got) == docs.count()
     assert (got.n_words == [len(words(t)) for t in got.merge(docs.toPandas(), on="doc_id").text]).all()
     # posteriors by hand for a tiny model
-    model = Classifier(["a", "b"], [[0.5] * 16_384], [0.6, 0.4])
+    model = Classifier(["a", "b"], [[0.5] * BUCKETS], [0.6, 0.4])
     for r, x in zip(memberships(odd, model).collect(), odd.collect()):
         n = len(words(x["text"]))
         p = 1 / (1 + 0.6 / 0.4 * np.exp(-0.5 * np.sqrt(n)))
