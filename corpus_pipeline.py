@@ -20,12 +20,17 @@ from tapeworks.llm.op8_contain import contained
 from tapeworks.llm.op9_jaccard import jaccard_join
 from tapeworks.session import ensure_checkpoint_dir
 
+FEW = 500_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among ids (one column); a null is equal to a null."""
-    gone = ids.toDF("gone").distinct()
+    """The documents whose doc_id is not among ids (one column); a null is equal to a null.
+
+    Up to ``FEW`` ids, as counted, are broadcast so that texts needn't move; more are joined by shuffle.
+    """
+    gone = ids.toDF("gone").distinct().checkpoint()
+    gone = F.broadcast(gone) if gone.count() <= FEW else gone.hint("merge")
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
 
 
