@@ -90,8 +90,8 @@ def _overlap(tokens: list[np.ndarray]) -> np.ndarray:
         return out
     column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1])))
     step = 4096
-    edges = np.searchsorted(column, np.arange(0, column[-1] + step, step))
-    for a, b in zip(edges[:-1], np.append(edges[1:-1], len(column))):
+    starts = np.searchsorted(column, np.arange(0, column[-1] + 1, step))
+    for a, b in zip(starts, np.append(starts[1:], len(column))):
         part = np.zeros((m, step), np.float32)
         part[row[a:b], column[a:b] % step] = 1
         got = part @ part.T

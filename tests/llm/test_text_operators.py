@@ -128,6 +128,28 @@ def test_op9_large_group_in_blocks(spark, monkeypatch):
     assert got == brute_op9(rows, 3, 90)
 
 
+@pytest.mark.parametrize("shared", [1, 2, 4095, 4096, 4097, 8192, 8193])
+def test_op9_overlap_counts_every_token(shared):
+    """Sets that share a number of tokens at and beside the edges of the pieces."""
+    import numpy as np
+
+    from tapeworks.llm.op9_jaccard import _overlap
+
+    sets = [set(range(shared)) | {10**6}, set(range(shared)) | {10**6 + 1}, {10**6 + 2}]
+    got = _overlap([np.array(sorted(s), np.uint64) for s in sets])
+    assert got.tolist() == [[len(a & b) for b in sets] for a in sets]
+
+
+@pytest.mark.parametrize("k, num, sizes", [(3, 90, (11, 12)), (5, 80, (8, 9)), (3, 90, (4099, 4100)), (3, 90, (4098, 4099))])
+def test_op9_pair_alone_in_its_group(spark, k, num, sizes):
+    """Two documents of which one is the other and a word more, without others that share a shingle with them."""
+    from tapeworks.llm.op9_jaccard import jaccard_join
+
+    rows = [(n, " ".join(f"w{i}" for i in range(size))) for n, size in enumerate(sizes)] + [(9, "no shingle of these three")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k, num, 100).collect())
+    assert got == brute_op9(rows, k, num) and got[1][2] == 0
+
+
 def test_op1_statistics_and_verdicts(spark, odd, none):
     from tapeworks.llm.op1_outliers import quality
 
