@@ -1,15 +1,22 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 Every word is predicted from the words around it, ``SIDE`` on each side, itself masked; the log-probabilities of all words of a
-document are summed. Words become tokens by counts over the whole corpus: the ``KEEP`` most frequent have a token of their own,
-the rest share hashed ones. The network embeds the window's tokens for each place, adds them, applies tanh and gives the token by
-a two-step softmax, its block of ``BLOCK`` tokens first and then the token in the block.
+document are summed. Words become tokens by counts over the whole corpus: those that make up at least 1 / (``RARE`` sqrt(N)) of its
+N words, and never fewer than the ``KEEP`` most frequent, have a token of their own, so the vocabulary grows with the corpus; the
+rest share hashed tokens, and each of them is charged its exact share of its token's words in the whole corpus besides, so that
+the probabilities of all words of the corpus, not of tokens, add up to one. The network embeds the window's tokens for each place,
+adds them, applies tanh and gives the token by a two-step softmax, its block first and then the token in the block; there are as
+many blocks as tokens in a block. It starts from the tokens' counts.
+
+Shares are counted where they meet: texts send the hashes of their rare words to buckets of hashed tokens, a bucket counts words
+and tokens and returns one sum for each text, in blobs by ranges of texts. Texts go by their 64-bit hash; what is sent is 8
+bytes for each rare word.
 
 The network is trained in numpy on all documents where they lie: every partition takes the shared parameters, runs mini-batch
 gradient descent over its own words and sends its parameters back, cut into ranges; the average of each range over the
 partitions, weighted by words, is the next round's. A round takes every ``ROUNDS``-th word of each text, the next one the
 words after those, so each word is learned from once. What is gathered grows with the corpus (its word counts and a parameter
-set for each partition), what the driver holds is one parameter set.
+set for each partition), what the driver holds is the vocabulary and one parameter set, which grow about as sqrt(N).
 
 Null, empty and white-space texts have no word and score 0. Texts are read whole. Repeated rows score alike; an empty corpus
 gives an empty result; other columns are not looked at.
@@ -23,18 +30,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.llm import exchange as X
 from tapeworks.llm.hashing import U, mix, slices, texts, word_hashes
+from tapeworks.session import ensure_checkpoint_dir
 
 KEEP, BLOCK, BLOCKS, SIDE, SIZE = 512, 32, 32, 2, 16
-TOKENS = BLOCK * BLOCKS
+TOKENS = BLOCK * BLOCKS  # of the smallest network
 EDGE = TOKENS  # stands beyond the ends of a text
+RARE = 10
 ROUNDS, BATCH, RATE = 2, 4096, 1.0
-SHAPES = {"emb": (2 * SIDE, TOKENS + 1, SIZE), "mid": (SIZE,), "block": (SIZE, BLOCKS), "block_bias": (BLOCKS,), "token": (BLOCKS, SIZE, BLOCK), "token_bias": (BLOCKS, BLOCK)}
 RANGES = 16
+_SENT = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("texts", pa.binary()), ("sizes", pa.binary())])
+_FOUND = pa.schema([("range", pa.int32()), ("bucket", pa.int32()), ("texts", pa.binary()), ("shares", pa.binary())])
+_SHARES = pa.schema([("fp", pa.int64()), ("share", pa.float64())])
+
+
+def shapes(side: int) -> dict[str, tuple]:
+    """Of a network of side blocks of side tokens; the last row of a block's tokens is their bias."""
+    return {"emb": (2 * SIDE, side * side + 1, SIZE), "mid": (SIZE,), "block": (SIZE, side), "block_bias": (side,), "token": (side, SIZE + 1, side)}
+
+
+def side_of(n_known: int) -> int:
+    """Blocks, and tokens in a block, for a vocabulary; at least a fifth of the tokens, and KEEP of them, are left for hashes."""
+    return max(BLOCK, int(np.ceil(np.sqrt(n_known + max(TOKENS - KEEP, n_known // 4)))))
 
 
 def frequent(docs: DataFrame, keep: int = KEEP) -> np.ndarray:
-    """Hashes of the most frequent words of the corpus, most frequent first, counted over all of it."""
+    """Hashes of the words with a token of their own, most frequent first, counted over the whole corpus."""
+    return vocabulary(docs, keep)[0]
+
+
+def vocabulary(docs: DataFrame, keep: int = KEEP) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes and counts of the words with a token of their own, most frequent first, and the number of words of the corpus."""
+    ensure_checkpoint_dir(docs.sparkSession)
 
     def counts(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -49,13 +77,17 @@ def frequent(docs: DataFrame, keep: int = KEEP) -> np.ndarray:
             first = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
             yield pa.RecordBatch.from_arrays([pa.array(words[first].view(np.int64)), pa.array(np.add.reduceat(n, first).astype(np.int64))], names=["word", "n"])
 
-    top = docs.select("text").mapInArrow(counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(keep)
-    return np.array([r["word"] for r in top.collect()], np.int64).view(U)
+    every = docs.select("text").mapInArrow(counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).checkpoint()
+    total = every.agg(F.sum("n").alias("n")).first()["n"] or 0
+    top = every.where(F.col("n") >= float(np.sqrt(total) / RARE)).orderBy(F.desc("n"), "word").collect()
+    if len(top) < keep:
+        top = every.orderBy(F.desc("n"), "word").limit(keep).collect()
+    return np.array([r["word"] for r in top], np.int64).view(U), np.array([r["n"] for r in top], np.int64), total
 
 
 def tokens(words: np.ndarray, known: np.ndarray) -> np.ndarray:
     """The token of each word: its rank where it is frequent, a hashed one after those else."""
-    out = (len(known) + (mix(words, 3) % U(TOKENS - len(known))).astype(np.int64)).astype(np.int32)
+    out = (len(known) + (mix(words, 3) % U(side_of(len(known)) ** 2 - len(known))).astype(np.int64)).astype(np.int32)
     if len(known):
         order = np.argsort(known)
         spot = np.minimum(np.searchsorted(known[order], words), len(known) - 1)
@@ -64,34 +96,41 @@ def tokens(words: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows(tok: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The tokens around each word, one row for each place; EDGE beyond a text's ends."""
+def windows(tok: np.ndarray, first: np.ndarray, edge: int = EDGE) -> np.ndarray:
+    """The tokens around each word, one row for each place; edge beyond a text's ends."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.arange(len(tok))
     out = np.empty((2 * SIDE, len(tok)), np.int32)
     for i, d in enumerate([d for d in range(-SIDE, SIDE + 1) if d]):
         to = at + d
         ok = (to >= first[text]) & (to < first[text + 1])
-        out[i] = np.where(ok, tok[np.clip(to, 0, max(len(tok) - 1, 0))] if len(tok) else EDGE, EDGE)
+        out[i] = np.where(ok, tok[np.clip(to, 0, max(len(tok) - 1, 0))] if len(tok) else edge, edge)
     return out
 
 
 class Network:
     def __init__(self, p: dict[str, np.ndarray]):
-        self.p = p
+        self.p, self.side = p, len(p["block_bias"])
 
     @classmethod
-    def start(cls) -> Network:
+    def start(cls, side: int = BLOCK, share: np.ndarray | None = None) -> Network:
+        """share: of the corpus, for each token."""
         rng = np.random.default_rng(5)
-        return cls({k: (np.zeros(s, np.float32) if "bias" in k or k == "mid" else rng.normal(0, 0.1, s).astype(np.float32)) for k, s in SHAPES.items()})
+        net = cls({k: (np.zeros(s, np.float32) if "bias" in k or k == "mid" else rng.normal(0, 0.1, s).astype(np.float32)) for k, s in shapes(side).items()})
+        net.p["token"][:, -1] = 0
+        if share is not None:
+            share = share.reshape(side, side)
+            net.p["block_bias"] += np.log(share.sum(1)).astype(np.float32)
+            net.p["token"][:, -1] = np.log(share / share.sum(1, keepdims=True))
+        return net
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in SHAPES])
+        return np.concatenate([self.p[k].ravel() for k in shapes(self.side)])
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Network:
         out, at = {}, 0
-        for k, s in SHAPES.items():
+        for k, s in shapes(int(np.sqrt(len(flat) / (2 * SIDE * SIZE + SIZE + 1)))).items():
             n = int(np.prod(s))
             out[k] = flat[at:at + n].reshape(s).astype(np.float32).copy()
             at += n
@@ -100,60 +139,82 @@ class Network:
     def hidden(self, around: np.ndarray) -> np.ndarray:
         z = self.p["mid"] + self.p["emb"][0][around[0]]
         for i in range(1, len(around)):
-            z = z + self.p["emb"][i][around[i]]
-        return np.tanh(z)
+            z += self.p["emb"][i][around[i]]
+        return np.tanh(z, out=z)
 
     def _in_block(self, h: np.ndarray, block: np.ndarray):
-        """Rows by block, and the log-probabilities of the tokens of each row's own block."""
-        order = np.argsort(block, kind="stable")
-        cut = np.searchsorted(block[order], np.arange(BLOCKS + 1))
-        z = np.empty((len(h), BLOCK), np.float32)
-        for b in np.flatnonzero(np.diff(cut)):
-            rows = order[cut[b]:cut[b + 1]]
-            z[rows] = h[rows] @ self.p["token"][b] + self.p["token_bias"][b]
-        return order, cut, _log_softmax(z)
+        """The ranges of each block, by which rows are sorted, and the scores of the tokens of each row's own block."""
+        cut = np.searchsorted(block, np.arange(self.side + 1))
+        z = np.empty((len(h), self.side), np.float32)
+        ranges = [(b, slice(cut[b], cut[b + 1])) for b in np.flatnonzero(np.diff(cut))]
+        h = np.column_stack((h, np.ones(len(h), np.float32)))
+        for b, rows in ranges:
+            np.matmul(h[rows], self.p["token"][b], out=z[rows])
+        return ranges, z, h
 
     def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(around)
-        block, at = target // BLOCK, target % BLOCK
-        row = np.arange(len(target))
-        return _log_softmax(h @ self.p["block"] + self.p["block_bias"])[row, block] + self._in_block(h, block)[2][row, at]
+        order = np.argsort(_short(target // self.side), kind="stable")
+        block, at = np.divmod(target[order], self.side)
+        h = self.hidden(around[:, order])
+        out = np.empty(len(target), np.float32)
+        out[order] = _log_of(h @ self.p["block"] + self.p["block_bias"], block) + _log_of(self._in_block(h, block)[1], at)
+        return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient descent."""
         n, p = len(target), self.p
+        order = np.argsort(_short(target // self.side), kind="stable")
+        around, (block, at), row = around[:, order], np.divmod(target[order], self.side), np.arange(n)
         h = self.hidden(around)
-        block, at, row = target // BLOCK, target % BLOCK, np.arange(n)
-        order, cut, log = self._in_block(h, block)
-        d = np.exp(log)
-        d[row, at] -= 1
-        e = np.exp(_log_softmax(h @ p["block"] + p["block_bias"]))
+        ranges, d, moved = self._in_block(h, block)
+        _softmax(d)[row, at] -= 1
+        e = _softmax(h @ p["block"] + p["block_bias"])
         e[row, block] -= 1
         back = e @ p["block"].T
         step = np.float32(rate / n)
-        for b in np.flatnonzero(np.diff(cut)):
-            rows = order[cut[b]:cut[b + 1]]
-            back[rows] += d[rows] @ p["token"][b].T
-            # blocks of few words would hardly move with the mean over the batch
-            own = np.float32(rate / max(len(rows), n // BLOCKS))
-            p["token"][b] -= own * (h[rows].T @ d[rows])
-            p["token_bias"][b] -= own * d[rows].sum(0)
+        # blocks of few words would hardly move with the mean over the batch
+        many = np.bincount(block, minlength=self.side)
+        moved *= (rate / np.maximum(many, n // BLOCKS)).astype(np.float32)[block][:, None]
+        own = np.empty_like(back)
+        for b, rows in ranges:
+            w, y = p["token"][b], d[rows]
+            np.matmul(y, w[:-1].T, out=own[rows])
+            w -= moved[rows].T @ y
+        back += own
         p["block"] -= step * (h.T @ e)
         p["block_bias"] -= step * e.sum(0)
         back *= 1 - h * h
         p["mid"] -= step * back.sum(0)
         for i in range(len(around)):
-            order = np.argsort(around[i], kind="stable")
+            order = np.argsort(_short(around[i]), kind="stable")
             t = around[i][order]
             first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            many = np.diff(np.append(first, n)).astype(np.float32)
+            last = np.append(first[1:], n)
+            summed = np.cumsum(back[order], axis=0, dtype=np.float64)[last - 1]
+            summed[1:] -= summed[:-1].copy()
             # the mean over a token's own places: frequent and rare tokens move alike
-            p["emb"][i][t[first]] -= np.float32(rate) * np.add.reduceat(back[order], first) / np.maximum(many, n / TOKENS)[:, None]
+            summed *= rate / np.maximum(last - first, n / TOKENS)[:, None]
+            p["emb"][i][t[first]] -= summed.astype(np.float32)
+
 
+def _short(a: np.ndarray) -> np.ndarray:
+    """In 16 bits where they do, which sort faster."""
+    return a.astype(np.uint16) if len(a) and a.max() < 1 << 16 else a
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In place."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _log_of(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax at one place of each row; z is used up."""
+    z -= z.max(1, keepdims=True)
+    got = z[np.arange(len(z)), at]
+    return got - np.log(np.exp(z, out=z).sum(1))
 
 
 def encoded(column, known: np.ndarray):
@@ -164,9 +225,9 @@ def encoded(column, known: np.ndarray):
         yield tokens(words, known), first, i, j
 
 
-def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS) -> Network:
+def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS, share: np.ndarray | None = None) -> Network:
     """Rounds of local descent in every partition and averages of all partitions' parameters."""
-    net = Network.start()
+    net = Network.start(side_of(len(known)), share)
     spark = docs.sparkSession
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((net.flat(), known))
@@ -177,7 +238,7 @@ def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS) -> Network:
             rng = np.random.default_rng(turn)
             for batch in batches:
                 for tok, first, _, _ in encoded(batch["text"], known):
-                    around = windows(tok, first)
+                    around = windows(tok, first, net.side ** 2)
                     order = rng.permutation(np.arange(turn, len(tok), rounds))
                     for a in range(0, len(order), BATCH):
                         rows = order[a:a + BATCH]
@@ -209,10 +270,66 @@ def _each(fn):
     return grouped
 
 
+def rare_shares(docs: DataFrame, known: np.ndarray) -> DataFrame:
+    """fp (hash of a text) and share: the sum over a text's words without a token of their own, each as often as it occurs, of
+    the logarithm of its part of all such words of its token. Texts without such words are left out."""
+    n, held = X.width(docs), docs.sparkSession.sparkContext.broadcast(known)
+
+    def send(batches):
+        known = held.value
+        for batch in batches:
+            buf, off = texts(batch["text"])
+            fps = batch["fp"].to_numpy()
+            rows = []
+            for i, j in slices(off):
+                words, first = word_hashes(buf[off[i]:off[j]], off[i:j + 1] - off[i])
+                tok = tokens(words, known)
+                rare = np.flatnonzero(tok >= len(known))
+                bucket = tok[rare] % n
+                order = np.argsort(_short(bucket), kind="stable")
+                text = np.repeat(np.arange(i, j), np.diff(first))[rare][order]
+                words, cut = words[rare][order], np.searchsorted(bucket[order], np.arange(n + 1))
+                for b in np.flatnonzero(np.diff(cut)):
+                    part = text[cut[b]:cut[b + 1]]
+                    new = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                    rows.append((int(b), words[cut[b]:cut[b + 1]].tobytes(), fps[part[new]].tobytes(), np.diff(np.append(new, len(part))).astype(np.uint32).tobytes()))
+            yield from X.table_of(rows, _SENT).to_batches()
+
+    def count(table):
+        words, fps, sizes = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("words", U), ("texts", np.int64), ("sizes", np.uint32)))
+        order = np.argsort(words)
+        w = words[order]
+        first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        times = np.diff(np.append(first, len(w)))
+        tok = tokens(w[first], held.value)
+        share = np.empty(len(w))
+        share[order] = np.repeat(np.log(times / np.bincount(tok, times)[tok]), times)
+        summed = np.add.reduceat(share, np.cumsum(sizes, dtype=np.int64) - sizes)
+        # rows with one text all have the same sum
+        fps, once = np.unique(fps.view(U), return_index=True)
+        summed, cut = summed[once], X._cuts(fps, n)
+        parts = [(int(r), slice(cut[r], cut[r + 1])) for r in np.flatnonzero(np.diff(cut))]
+        return X.table_of([(r, table["bucket"][0].as_py(), fps[p].tobytes(), summed[p].tobytes()) for r, p in parts], _FOUND)
+
+    def add(table):
+        table = table.sort_by("bucket")
+        fps, shares = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("texts", np.int64), ("shares", np.float64)))
+        order = np.argsort(fps, kind="stable")
+        fps = fps[order]
+        first = np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1])))
+        return pa.Table.from_arrays([pa.array(fps[first]), pa.array(np.add.reduceat(shares[order], first))], schema=_SHARES)
+
+    sent = docs.select("text", F.xxhash64("text").alias("fp")).mapInArrow(send, "bucket int, words binary, texts binary, sizes binary")
+    found = sent.groupBy("bucket").applyInArrow(count, "range int, bucket int, texts binary, shares binary")
+    return found.groupBy("range").applyInArrow(add, "fp long, share double")
+
+
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, log_likelihood (summed over words) and mean_log_likelihood (null without words)."""
-    known = frequent(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((train(docs, known, rounds).flat(), known))
+    known, times, total = vocabulary(docs)
+    hashed = side_of(len(known)) ** 2 - len(known)
+    share = np.concatenate((times, np.full(hashed, max(total - times.sum(), 1) / hashed))) / max(total, 1)
+    shared = docs.sparkSession.sparkContext.broadcast((train(docs, known, rounds, share).flat(), known))
 
     def score(batches):
         flat, known = shared.value
@@ -220,13 +337,14 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         for batch in batches:
             n, summed = np.zeros(len(batch), np.int64), np.zeros(len(batch))
             for tok, first, i, j in encoded(batch["text"], known):
-                around = windows(tok, first)
-                total = np.zeros(len(tok) + 1)
-                for a in range(0, len(tok), BATCH):
-                    total[a + 1:a + 1 + BATCH] = net.log_probability(around[:, a:a + BATCH], tok[a:a + BATCH])
+                around = windows(tok, first, net.side ** 2)
+                total, many = np.zeros(len(tok) + 1), 4 * BATCH
+                for a in range(0, len(tok), many):
+                    total[a + 1:a + 1 + many] = net.log_probability(around[:, a:a + many], tok[a:a + many])
                 total = np.cumsum(total)
                 n[i:j], summed[i:j] = np.diff(first), total[first[1:]] - total[first[:-1]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(summed), pa.array(summed / np.maximum(n, 1), mask=n == 0)],
-                                             names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["fp"], pa.array(n, pa.int64()), pa.array(summed)], names=["doc_id", "fp", "n_words", "likely"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    scored = docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(score, "doc_id long, fp long, n_words long, likely double")
+    both = scored.join(rare_shares(docs, known), "fp", "left").withColumn("log_likelihood", F.col("likely") + F.coalesce("share", F.lit(0.0)))
+    return both.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"))

@@ -1,8 +1,10 @@
 """Learned and fitted operators: known answers, held-out accuracy, numeric gradients and brute force."""
 import zlib
+from collections import Counter
 
 import numpy as np
 from conftest_llm import FIXTURE, words
+from pyspark.sql import functions as F
 
 from tapeworks.llm import op3_language, op7_toxicity, op10_pll
 from tapeworks.llm.hashing import texts
@@ -106,6 +108,40 @@ def test_op10_learns_the_corpus(spark):
     assert net.log_probability(around, tok).mean() > op10_pll.Network.start().log_probability(around, tok).mean() + 0.2
 
 
+def test_op10_vocabulary_grows_with_the_corpus(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(1500))) for i in range(20)] + [(99, "seldom")], "doc_id long, text string")
+    known = op10_pll.frequent(docs)
+    hashes = op10_pll.word_hashes(*texts(docs.where("doc_id = 0").select("text").toArrow()["text"]))[0]
+    assert set(known.tolist()) == set(hashes.tolist()) and sorted(op10_pll.tokens(hashes, known)) == list(range(1500))
+    net = op10_pll.Network.start(op10_pll.side_of(len(known)))
+    every = np.arange(net.side ** 2)
+    assert len(every) > 1500 and abs(np.exp(net.log_probability(np.full((4, len(every)), len(every)), every)).sum() - 1) < 1e-3
+    assert op10_pll.Network.of(net.flat()).side == net.side
+
+
+def test_op10_every_word_has_its_own_probability(spark, odd):
+    """Shares of rare words against counts by hand, repeated and null rows included, and what they do to the scores."""
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(50, " ".join(f"r{i}" for i in range(3000) for _ in range(1 + i % 2)))]
+    rows += [(100 + i, f"r{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = op10_pll.frequent(docs)
+    table = docs.withColumn("fp", F.xxhash64("text")).toArrow()
+    hashes, first = op10_pll.word_hashes(*texts(table["text"]))
+    tok = op10_pll.tokens(hashes, known).tolist()
+    times, whole = Counter(hashes.tolist()), Counter(tok)
+    want = {}
+    for i, fp in enumerate(table["fp"].to_pylist()):
+        want[fp] = sum(np.log(times[h] / whole[t]) for h, t in zip(hashes[first[i]:first[i + 1]].tolist(), tok[first[i]:first[i + 1]]) if t >= len(known))
+    got = {r["fp"]: r["share"] for r in op10_pll.rare_shares(docs, known).collect()}
+    assert len(known) >= 512 and set(got) <= set(want) and all(abs(got.get(fp, 0) - s) < 1e-9 * (1 + abs(s)) for fp, s in want.items())
+    scores = {r["doc_id"]: r["log_likelihood"] for r in op10_pll.pseudo_likelihood(docs).collect()}
+    by = {}
+    for n, fp, t in ((d, f, tok[first[i]]) for i, (d, f) in enumerate(zip(table["doc_id"].to_pylist(), table["fp"].to_pylist())) if d is not None and d >= 100):
+        by.setdefault(t, []).append(scores[n] - want[fp])
+    # single words of one token differ by their shares and by nothing else
+    assert any(len(x) > 1 for t, x in by.items() if t >= len(known)) and all(max(x) - min(x) < 1e-4 for x in by.values())
+
+
 def test_op6_rates_reach_targets(spark, odd, none, labels):
     from tapeworks.llm.op6_mixing import BUCKETS, DOMAINS, STEPS, Classifier, memberships, mix
 
