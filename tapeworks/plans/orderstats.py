@@ -2,10 +2,8 @@
 
 Rows are first collapsed to (key, distinct value, count) with map-side combining, so
 a value shared by a third of the rows costs one row. The distinct values are cut into
-blocks by sketched quantile edges (balanced for any distribution; as many as the size of
-the table asks for), block totals are
-prefix-summed on a table of at most ``blocks`` rows per key, and a running count inside
-each block completes the global cumulative count. Quantiles, medians, average ranks and
+blocks by sketched quantile edges (balanced for any distribution; as many as the counted
+values ask for), block totals are prefix-summed on a table of one row per block, and a running count inside each block completes the global cumulative count. Quantiles, medians, average ranks and
 two-sample distribution distances all read from that one table.
 """
 from __future__ import annotations
@@ -16,11 +14,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.plans.panel import TARGET, join_on, size_estimate
+from tapeworks.session import ensure_checkpoint_dir
 
 
-def block_count(df: DataFrame) -> int:
-    """Blocks of about ``TARGET`` rows by the optimizer's estimate of the table, 32 at least."""
-    return min(4096, max(32, size_estimate(df) // TARGET + 1))
+#: blocks that one round of edges cuts a table or a block into, and blocks of a table that needs no counting
+FANOUT, FEW = 1024, 32
+
+
+def rounds(distinct: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The table of distinct values to go on with, and into how many blocks each round of edges cuts it.
+
+    Where the tables below hold no more rows than ``FEW`` blocks of ``TARGET``, that is one round of ``FEW``. Anything larger is
+    written to the shared checkpoint folder once and counted there; a block gets about ``TARGET`` values, in two rounds where one
+    would need more than ``FANOUT`` edges.
+    """
+    if size_estimate(distinct) <= FEW * TARGET:
+        return distinct, [FEW]
+    ensure_checkpoint_dir(distinct.sparkSession)
+    distinct = distinct.checkpoint()
+    return distinct, block_rounds(distinct.count())
+
+
+def block_rounds(n: int) -> list[int]:
+    """Fan-out of each round for n distinct values."""
+    out, blocks = [], max(FEW, n // TARGET + 1)
+    while blocks > FANOUT:
+        out.append(FANOUT)
+        blocks = -(-blocks // FANOUT)
+    return out + [max(blocks, 2)]
 
 
 def _edges_below(edges: Column, value: Column, blocks: int) -> Column:
@@ -32,6 +53,15 @@ def _edges_below(edges: Column, value: Column, blocks: int) -> Column:
     return coarse + F.size(F.filter(F.slice(edges, coarse + 1, F.lit(step)), lambda e: e < value))
 
 
+def _cut(d: DataFrame, keys: list[str], blocks: int, first: bool = False) -> DataFrame:
+    """Each block ``_blk`` cut into ``blocks`` finer ones at sketched quantiles of the distinct values ``_v``."""
+    probs = F.split(F.lit(",".join(repr(i / blocks) for i in range(1, blocks))), ",").cast("array<double>")
+    edges_of = F.percentile_approx("_v", probs, F.lit(max(1000, 10 * blocks))).alias("_edges")
+    by = keys if first else keys + ["_blk"]
+    d = join_on(d, d.groupBy(*by).agg(edges_of), by) if by else d.withColumn("_edges", d.agg(edges_of).scalar())
+    return d.withColumn("_blk", F.col("_blk") * blocks + _edges_below(F.col("_edges"), F.col("_v"), blocks)).drop("_edges")
+
+
 def cumulative_counts(df: DataFrame, value: Column, keys: Sequence[str] = (),
                       weights: Mapping[str, Column] | None = None, blocks: int | None = None) -> DataFrame:
     """(keys, _v, <w>, cum_<w>, tot_<w>) per distinct non-null, non-NaN value.
@@ -44,18 +74,12 @@ def cumulative_counts(df: DataFrame, value: Column, keys: Sequence[str] = (),
     d = (df.select(*keys, value.cast("double").alias("_v"), *[w.alias(n) for n, w in weights.items()])
            .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
            .groupBy(*keys, "_v").agg(*[F.sum(n).alias(n) for n in names]))
-    blocks = blocks or block_count(df)
-    probs = F.split(F.lit(",".join(repr(i / blocks) for i in range(1, blocks))), ",").cast("array<double>")
-    edges_of = F.percentile_approx("_v", probs, F.lit(max(1000, 10 * blocks)))
-    if keys:
-        d = join_on(d, d.groupBy(*keys).agg(edges_of.alias("_edges")), keys)
-        edges = F.col("_edges")
-    else:
-        d = d.withColumn("_edges", d.agg(edges_of.alias("_edges")).scalar())
-        edges = F.col("_edges")
-    d = d.withColumn("_blk", _edges_below(edges, F.col("_v"), blocks)).drop("_edges")
+    d, cuts = (d, [blocks]) if blocks else rounds(d)
+    d = _cut(d.withColumn("_blk", F.lit(0).cast("long")), keys, cuts[0], first=True)
+    for n in cuts[1:]:
+        d = _cut(d, keys, n)
     totals = d.groupBy(*keys, "_blk").agg(*[F.sum(n).alias(f"_b_{n}") for n in names])
-    # at most `blocks` rows per key from here on
+    # one row per key and block from here on
     up_to = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offs = totals.select(*keys, "_blk",

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,10 @@ def all_pairs(symbols: Sequence) -> list[tuple]:
 def pair_table(spark, pairs: Sequence[tuple], symbol_type: str = "string") -> DataFrame:
     if len(pairs) > MAX_PAIRS:
         raise ValueError(f"{len(pairs)} pairs requested; split the request into lists of at most {MAX_PAIRS}")
-    return spark.createDataFrame([tuple(p) for p in pairs], f"a {symbol_type}, b {symbol_type}")
+    if not pairs:
+        return spark.createDataFrame([], f"a {symbol_type}, b {symbol_type}")
+    columns = {name: [p[i] for p in pairs] for i, name in enumerate(("a", "b"))}
+    return spark.createDataFrame(pa.table(columns)).select(*[F.col(c).cast(symbol_type).alias(c) for c in columns])  # its size is known to the planner
 
 
 def align_pairs(df: DataFrame, pairs: DataFrame, value_cols: Sequence[str], symbol: str = "symbol",

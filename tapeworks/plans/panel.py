@@ -80,15 +80,23 @@ TARGET = 2_000_000
 
 
 def size_estimate(df: DataFrame) -> int:
-    """Rows by the optimizer's estimate of bytes, no job: an upper bound for plain scans and filters."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes()) // (8 * max(1, len(df.columns)))
+    """Rows that the tables below a plan hold, by their sizes; no job.
+
+    The optimizer's own figure for a plan multiplies through joins and soon means nothing. What the tables hold is right for
+    scans, filters and joins on keys, and low by the factor by which a generator or a many-to-many join adds rows.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        total += int(leaf.stats().sizeInBytes()) // (8 * max(1, leaf.output().size()))
+    return total
 
 
 def sized(df: DataFrame, panel: Panel, bucket: Column) -> Column:
     """The bucket, cut finer by the leading order column until no (key, bucket) holds more than ``TARGET`` rows.
 
-    Small tables keep the bucket by the optimizer's estimate alone. Larger ones are counted: a bucket with too many rows is
+    Plans over small tables keep the bucket. Larger ones are counted: a bucket with too many rows is
     cut into steps of time (or of a number), each round a quarter of the last, down to single values of the column.
     """
     kind = dict(df.dtypes)[panel.order[0]]

@@ -122,3 +122,23 @@ def test_many_blocks(spark):
     d = spark.range(3000).select((F.col("id") * 7919 % 1009 / 3.0).alias("x"))
     few, many = (cumulative_counts(d, F.col("x"), blocks=b).select("_v", "cum_n", "tot_n").toPandas().sort_values("_v").reset_index(drop=True) for b in (32, 400))
     assert few.equals(many)
+
+
+def test_blocks_follow_counted_values_not_the_estimate(spark, tape):
+    from tapeworks.plans import orderstats, panel
+    d = spark.range(6000).selectExpr("id % 7 AS k", "id AS v")
+    joined = d.join(d.withColumnRenamed("v", "w"), "k").join(d.withColumnRenamed("v", "x"), "k").where("v = w AND w = x")
+    assert orderstats.rounds(joined)[1] == [32]
+    assert orderstats.block_rounds(6000) == [32] and orderstats.block_rounds(10**9) == [501]
+    many = orderstats.block_rounds(10**13)
+    assert len(many) == 3 and max(many) <= 1024 and many[0] * many[1] * many[2] * panel.TARGET >= 10**13
+    assert panel.size_estimate(joined) < 100_000
+
+
+def test_two_rounds_of_edges_count_alike(spark, monkeypatch):
+    from tapeworks.plans import orderstats
+    d = spark.range(5000).selectExpr("id % 3 AS k", "cast((id * 7919) % 1000 AS double) AS v")
+    one = {tuple(r) for r in orderstats.cumulative_counts(d, F.col("v"), ["k"]).select("k", "_v", "n", "cum_n", "tot_n").collect()}
+    monkeypatch.setattr(orderstats, "rounds", lambda t: (t, [5, 4]))
+    two = {tuple(r) for r in orderstats.cumulative_counts(d, F.col("v"), ["k"]).select("k", "_v", "n", "cum_n", "tot_n").collect()}
+    assert one == two and len(one) == 3000
