@@ -154,3 +154,16 @@ def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeworks.llm.op6_mixing import mix
 
     return mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op12_cuckoo_dedup", r"""
+WITH d AS (SELECT row_number() OVER () AS tag, doc_id, coalesce(text, '') AS t FROM documents),
+h AS (SELECT tag, doc_id, length(t) AS c, sha256(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS s FROM d),
+r AS (SELECT doc_id, s, count(*) OVER (PARTITION BY s) AS n, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS k FROM h
+  WINDOW w AS (PARTITION BY s ORDER BY c DESC, doc_id NULLS LAST, tag))
+SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, k = 1 AS kept, s AS text_sha256 FROM r""")
+def op12_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without white space, the row that stays, from an index behind cuckoo filters."""
+    from tapeworks.llm.op12_cuckoo import exact_dedup
+
+    return exact_dedup(documents(spark, sf_dir))
