@@ -167,3 +167,20 @@ def op12_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeworks.llm.op12_cuckoo import exact_dedup
 
     return exact_dedup(documents(spark, sf_dir))
+
+
+@query("op13_pair_maxscore", rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({SQL_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+total AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d),
+p AS (SELECT doc_id, any_value(n) AS n, t, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY doc_id, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, total GROUP BY t),
+s AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS s FROM p JOIN w USING (t), total),
+r AS (SELECT item_id, doc_id, sum(s)::BIGINT AS score FROM i JOIN s USING (t) GROUP BY item_id, doc_id HAVING sum(s) > 0),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10""")
+def op13_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for each benchmark item."""
+    from tapeworks.llm.op13_maxscore import ranked
+
+    return ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -81,3 +81,62 @@ def test_op12_filter_fills_overflows_and_frees():
     hit, place = back.find(keys, shard.keys)
     assert (place[1::2] >= 0).all() and (place[::2] < 0).all() and hit[::2].mean() < 0.01
     assert (np.unique(back.at[back.at >= 0]) == np.arange(1, 5000, 2)).all()
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
+
+
+def brute_op13(docs, items, best=10):
+    own = [(i, Counter(terms(t))) for i, t in docs]
+    sizes = [sum(c.values()) for _, c in own]
+    n, total = sum(s > 0 for s in sizes), sum(sizes)
+    df = Counter(t for _, c in own for t in c)
+    out = []
+    for item, text in items:
+        ts = set(terms(text))
+        rows = []
+        for (i, c), size in zip(own, sizes):
+            m = 10 + 90 * size * n // max(total, 1)
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in ts if c[t])
+            if score > 0:
+                rows.append((-score, LAST if i is None else i, i))
+        out += [(item, k + 1, i, -s) for k, (s, _, i) in enumerate(sorted(rows, key=lambda r: r[:2])[:best])]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("table,most_terms", [("odd", 10**6), ("given", 10**6), ("given", 60), ("none", 10**6)])
+def test_op13_whole_texts(spark, odd, none, table, most_terms):
+    from tapeworks.llm.op13_maxscore import ranked
+
+    docs = {"odd": odd, "none": none, "given": documents(spark)}[table]
+    more = [(900, None), (901, " .,"), (902, "Alpha alpha beta w3x3 w9x9 same line"), (902, "same again"), (903, "é" * 500), (904, "no-document-holds zzzzq")]
+    items = spark.createDataFrame(more, "item_id long, text string").unionByName(spark.read.parquet(f"{FIXTURE}/benchmark.parquet").select("item_id", "text"))
+    got = sorted((tuple(r) for r in ranked(docs, items, most_terms=most_terms).collect()), key=repr)
+    assert got == brute_op13(rows_of(docs), [(r["item_id"], r["text"]) for r in items.collect()])
+    assert ranked(docs, items.where("false")).count() == 0
+
+
+def test_op13_bounds_hold_and_pairs_tighten():
+    from tapeworks.llm.op13_maxscore import Segment
+
+    rng = np.random.default_rng(3)
+    lists = [np.sort(rng.choice(400, k, replace=False)).astype(np.int32) for k in (5, 40, 90, 200, 300)]
+    row = {"ids": np.arange(400)[::-1].astype(np.int64).tobytes(), "sizes": rng.integers(1, 500, 400).astype(np.int64).tobytes(), "held": np.arange(5, dtype=np.int32).tobytes(),
+           "ends": np.cumsum([len(x) for x in lists]).astype(np.int32).tobytes(), "doc": np.concatenate(lists).tobytes(), "tf": rng.integers(1, 30, sum(map(len, lists))).astype(np.int32).tobytes()}
+    s = Segment(row, np.array([5000, 4000, 3000, 2000, 1000]), 400, 100_000)
+    plain = [s.bounds(s.strong(list(range(5))))[k] for k in range(6)]
+    s.index_pairs([list(range(5))])
+    paired = s.bounds(s.strong(list(range(5))))
+    order = s.strong(list(range(5)))
+    for k in range(6):
+        true = max((int(s._score(np.array([d]), order[k:])[0]) for d in range(400)), default=0)
+        assert true <= paired[k] <= plain[k]
+    assert sum(paired) < sum(plain)
+    ids, scores = s.search(list(range(5)), 10)
+    every = s._score(np.arange(400), order)
+    want = sorted(((-int(v), int(399 - d)) for d, v in enumerate(every)))[:10]
+    assert [(-int(v), int(i)) for i, v in zip(ids, scores)] == want
