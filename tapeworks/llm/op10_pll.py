@@ -137,9 +137,11 @@ class Network:
         return cls(out)
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        z = self.p["mid"] + self.p["emb"][0][around[0]]
+        z = np.take(self.p["emb"][0], around[0], axis=0)
+        z += self.p["mid"]
+        more = np.empty_like(z)
         for i in range(1, len(around)):
-            z += self.p["emb"][i][around[i]]
+            z += np.take(self.p["emb"][i], around[i], axis=0, out=more, mode="clip")
         return np.tanh(z, out=z)
 
     def _in_block(self, h: np.ndarray, block: np.ndarray):
@@ -190,11 +192,10 @@ class Network:
             t = around[i][order]
             first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
             last = np.append(first[1:], n)
-            summed = np.cumsum(back[order], axis=0, dtype=np.float64)[last - 1]
-            summed[1:] -= summed[:-1].copy()
+            summed = np.add.reduceat(np.take(back, order, axis=0), first, axis=0)
             # the mean over a token's own places: frequent and rare tokens move alike
-            summed *= rate / np.maximum(last - first, n / TOKENS)[:, None]
-            p["emb"][i][t[first]] -= summed.astype(np.float32)
+            summed *= (rate / np.maximum(last - first, n / TOKENS)).astype(np.float32)[:, None]
+            p["emb"][i][t[first]] -= summed
 
 
 def _short(a: np.ndarray) -> np.ndarray:
@@ -202,19 +203,28 @@ def _short(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint16) if len(a) and a.max() < 1 << 16 else a
 
 
+def _shifted(z: np.ndarray) -> np.ndarray:
+    """Scores that leave the range of exp, less their row's greatest, in place; others as they are."""
+    if len(z) and max(z.max(), -z.min()) > 60:
+        z -= z.max(1, keepdims=True)
+    return z
+
+
+def _summed(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], np.float32)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     """In place."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    np.exp(_shifted(z), out=z)
+    z *= (1 / _summed(z))[:, None]
     return z
 
 
 def _log_of(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The logarithm of the softmax at one place of each row; z is used up."""
-    z -= z.max(1, keepdims=True)
-    got = z[np.arange(len(z)), at]
-    return got - np.log(np.exp(z, out=z).sum(1))
+    got = _shifted(z)[np.arange(len(z)), at]
+    return got - np.log(_summed(np.exp(z, out=z)))
 
 
 def encoded(column, known: np.ndarray):
@@ -338,7 +348,7 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             n, summed = np.zeros(len(batch), np.int64), np.zeros(len(batch))
             for tok, first, i, j in encoded(batch["text"], known):
                 around = windows(tok, first, net.side ** 2)
-                total, many = np.zeros(len(tok) + 1), 4 * BATCH
+                total, many = np.zeros(len(tok) + 1), BATCH
                 for a in range(0, len(tok), many):
                     total[a + 1:a + 1 + many] = net.log_probability(around[:, a:a + many], tok[a:a + many])
                 total = np.cumsum(total)

@@ -45,11 +45,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_suffix_dedup")
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes left after removing every 400-byte string that also starts elsewhere."""
+    """Bytes left after removing every 400-byte string that also starts elsewhere, and what is left as text."""
     from tapeworks.llm.op2_suffix import remove_repeats
 
     out = remove_repeats(documents(spark, sf_dir), depth=400)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
