@@ -98,13 +98,16 @@ def tokens(words: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def windows(tok: np.ndarray, first: np.ndarray, edge: int = EDGE) -> np.ndarray:
     """The tokens around each word, one row for each place; edge beyond a text's ends."""
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    at = np.arange(len(tok))
-    out = np.empty((2 * SIDE, len(tok)), np.int32)
+    out = np.full((2 * SIDE, len(tok)), edge, np.int32)
     for i, d in enumerate([d for d in range(-SIDE, SIDE + 1) if d]):
-        to = at + d
-        ok = (to >= first[text]) & (to < first[text + 1])
-        out[i] = np.where(ok, tok[np.clip(to, 0, max(len(tok) - 1, 0))] if len(tok) else edge, edge)
+        n = len(tok) - abs(d)
+        if n <= 0:
+            continue
+        to, of = (slice(0, n), slice(d, None)) if d > 0 else (slice(-d, None), slice(0, n))
+        out[i, to] = tok[of]
+        for k in range(abs(d)):  # the places near a text's start or end look beyond it
+            at = first[:-1] + k if d < 0 else first[1:] - 1 - k
+            out[i, at[(at >= first[:-1]) & (at < first[1:])]] = edge
     return out
 
 
@@ -188,14 +191,16 @@ class Network:
         back *= 1 - h * h
         p["mid"] -= step * back.sum(0)
         for i in range(len(around)):
+            # the mean over a token's own places: frequent and rare tokens move alike
             order = np.argsort(_short(around[i]), kind="stable")
             t = around[i][order]
-            first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            last = np.append(first[1:], n)
-            summed = np.add.reduceat(np.take(back, order, axis=0), first, axis=0)
-            # the mean over a token's own places: frequent and rare tokens move alike
-            summed *= (rate / np.maximum(last - first, n / TOKENS)).astype(np.float32)[:, None]
-            p["emb"][i][t[first]] -= summed
+            head = np.concatenate(([True], t[1:] != t[:-1]))
+            place = np.empty(n, np.int64)
+            place[order] = np.cumsum(head) - 1
+            seen = t[head]
+            summed = np.bincount((place[:, None] * SIZE + np.arange(SIZE)).ravel(), back.ravel(), SIZE * len(seen)).reshape(-1, SIZE)
+            summed *= (rate / np.maximum(np.bincount(place), n / TOKENS))[:, None]
+            p["emb"][i][seen] -= summed.astype(np.float32)
 
 
 def _short(a: np.ndarray) -> np.ndarray:
