@@ -9,7 +9,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 HOME: dict = {}
 MODULES = ["bars", "indicators", "rolling", "anomaly", "volatility", "risk", "crossasset", "orderbook",
-           "orderflow", "patterns", "sentiment", "quality", "drift", "models", "evaluation", "states", "streams", "keyed", "ranking", "extensions"]
+           "orderflow", "patterns", "sentiment", "quality", "drift", "models", "evaluation", "states", "streams", "keyed", "ranking", "extensions", "documents"]
 
 
 def query(name: str, sql: str | None = None):
