@@ -87,3 +87,29 @@ def _(s, d):
     pairs = G.top_products(li, WIDE, "l_extendedprice", 3)
     out = G.with_products(li, pairs)
     return out.groupBy("l_orderkey", "l_linenumber").agg(F.sum(sum((F.col(f"poly_{a}_{b}") for a, b in pairs), F.lit(0.0))).alias("total")).select("l_orderkey", "l_linenumber", rd("total", 4).alias("total"))
+
+
+@query("levels_table_function", f"""WITH {BARS}, l AS (SELECT symbol, ts, high, low, row_number() OVER w AS bar, greatest(max(high) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), max(high) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) AS h,
+  least(min(low) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), min(low) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) AS lo, count(*) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+SELECT symbol, ts, 'resistance' AS kind, {R('high', 'price')}, bar FROM l WHERE n = 7 AND high > h UNION ALL SELECT symbol, ts, 'support', {R('low', 'price')}, bar FROM l WHERE n = 7 AND low < lo""")
+def _(s, d):
+    """Levels of the daily bars by the table function, called from SQL."""
+    from tapeworks.operators import tablefn
+
+    tablefn.register(s)
+    A.daily_bars(s, d).createOrReplaceTempView("bars_for_levels")
+    return s.sql("SELECT symbol, ts, kind, price, bar FROM levels_from_bars(TABLE(bars_for_levels), half => 3)").select("symbol", "ts", "kind", rd("price").alias("price"), "bar")
+
+
+@query("candle_source_round_trip", f"""WITH {BARS} SELECT symbol::VARCHAR AS symbol, ts, {R('open')}, {R('high')}, {R('low')}, {R('close')}, {R('volume')} FROM bars WHERE symbol IN (3, 17) AND ts >= TIMESTAMP '1995-01-01'""")
+def _(s, d):
+    """Daily bars written to the candle source by ranges of symbol and read back for two symbols and a time range."""
+    from tapeworks.sources import datasource
+
+    datasource.register(s)
+    ensure_checkpoint_dir(s)
+    folder = f"{s.sparkContext.getCheckpointDir().removeprefix('file:')}/candles-{uuid4().hex}"
+    bars = A.daily_bars(s, d).select(F.col("symbol").cast("string").alias("symbol"), "ts", "open", "high", "low", "close", "volume")
+    bars.repartitionByRange(16, "symbol").write.format("candles").mode("append").save(folder)
+    out = s.read.format("candles").load(folder).where("symbol IN ('3', '17') AND ts >= timestamp'1995-01-01'")
+    return out.select("symbol", "ts", *[rd(c).alias(c) for c in ("open", "high", "low", "close", "volume")])

@@ -134,3 +134,151 @@ def alert_lifecycle(samples: DataFrame, commands: DataFrame, late: str, quiet_se
     out = a.unionByName(b).groupBy("source").transformWithState(
         AlertLifecycle(quiet_seconds * 1_000_000), f"source {kind}, metric string, ts_us long, event string, severity string, value double", "Append", "EventTime")
     return out.select("source", "metric", F.timestamp_micros("ts_us").alias("ts"), "event", "severity", "value")
+
+
+# -- running totals and watched patterns over closed bars ---------------------------------
+
+class RunningDelta(StatefulProcessor):
+    """Cumulative delta with its extremes; the state of a symbol without bars for ``idle`` milliseconds is cleared by a timer."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.total = handle.getValueState("total", "total double, high double, low double, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        total, high, low, last = self.total.get() if self.total.exists() else (0.0, None, None, None)
+        for r in sorted(rows, key=lambda r: r.ts_us):
+            if last is not None and r.ts_us - last > self.idle * 1000:
+                total, high, low = 0.0, None, None
+            total += r.delta
+            high, low, last = total if high is None else max(high, total), total if low is None else min(low, total), r.ts_us
+            yield Row(symbol=key[0], ts_us=r.ts_us, cum_delta=total, session_high=high, session_low=low)
+        self.total.update((total, high, low, last))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(last // 1000 + self.idle)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.total.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def running_delta(bars: DataFrame, idle_seconds: int) -> DataFrame:
+    """symbol, ts, cum_delta, session_high and session_low over a stream of closed bars (symbol, ts, delta), in the same query that makes the bars.
+
+    A session ends when a symbol has no bar for ``idle_seconds``; the next bar starts from nothing.
+    """
+    with_state_store(bars.sparkSession)
+    kind = bars.schema["symbol"].dataType.simpleString()
+    out = bars.withColumn("ts_us", F.unix_micros("ts")).groupBy("symbol").transformWithState(
+        RunningDelta(idle_seconds * 1000), f"symbol {kind}, ts_us long, cum_delta double, session_high double, session_low double", "Append", "EventTime")
+    return out.select("symbol", F.timestamp_micros("ts_us").alias("ts"), "cum_delta", "session_high", "session_low")
+
+
+class PatternWatch(StatefulProcessor):
+    """A watched pattern's way from waiting to entered to target or stop; a timer at its expiry reports it stale and clears it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.status = handle.getValueState("status", "status string, expires long")
+
+    def _out(self, key, ts, event) -> Row:
+        return Row(symbol=key[0], pattern_id=key[1], ts_us=ts, event=event)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        status, expires = self.status.get() if self.status.exists() else ("waiting", None)
+        for r in sorted(rows, key=lambda r: r.ts_us):
+            if status in ("target", "stop", "stale"):
+                break
+            up, expires = r.direction == "bullish", r.expires_us
+            if status == "waiting":
+                if r.ts_us > expires:
+                    status = "stale"
+                    yield self._out(key, expires, status)
+                elif r.low <= r.entry <= r.high:
+                    status = "entered"
+                    yield self._out(key, r.ts_us, status)
+            elif (r.low <= r.stop) if up else (r.high >= r.stop):
+                status = "stop"
+                yield self._out(key, r.ts_us, status)
+            elif (r.high >= r.target) if up else (r.low <= r.target):
+                status = "target"
+                yield self._out(key, r.ts_us, status)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.status.update((status, expires))
+        if status == "waiting":
+            self.handle.registerTimer(expires // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.status.exists():
+            status, expires = self.status.get()
+            if status == "waiting":
+                self.status.update(("stale", expires))
+                yield self._out(key, expires, "stale")
+
+    def close(self) -> None:
+        pass
+
+
+def pattern_watch(bars: DataFrame, patterns: DataFrame) -> DataFrame:
+    """symbol, pattern_id, ts and event of watched patterns (symbol, pattern_id, direction, entry, target, stop, expires) against closed bars.
+
+    One query from ticks to events. A pattern that nobody entered by its expiry is stale at that time, also when no bar follows; a
+    settled pattern keeps a word of state, so that later bars don't open it again.
+    """
+    with_state_store(bars.sparkSession)
+    kind = bars.schema["symbol"].dataType.simpleString()
+    j = bars.join(patterns, "symbol").withColumn("ts_us", F.unix_micros("ts")).withColumn("expires_us", F.unix_micros("expires"))
+    out = j.groupBy("symbol", "pattern_id").transformWithState(PatternWatch(), f"symbol {kind}, pattern_id long, ts_us long, event string", "Append", "EventTime")
+    return out.select("symbol", "pattern_id", F.timestamp_micros("ts_us").alias("ts"), "event")
+
+
+# -- uniform samples ----------------------------------------------------------------------
+
+class BottomK(StatefulProcessor):
+    """The k rows of a key with the smallest draws, in list state; what enters and what leaves is reported."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sample = handle.getListState("sample", "draw long, id long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = {tuple(x) for x in self.sample.get()} if self.sample.exists() else set()
+        now = set(heapq.nsmallest(self.k, before | {(r.draw, r.id) for r in rows}))
+        self.sample.put(sorted(now))
+        for change, some in ((1, now - before), (-1, before - now)):
+            for draw, i in sorted(some):
+                yield Row(stratum=key[0], draw=draw, id=i, change=change)
+
+    def close(self) -> None:
+        pass
+
+
+def sample_changes(s: DataFrame, stratum: str, row_id: str, k: int, seed: int = 11, lanes: int = 16) -> DataFrame:
+    """stratum, draw, id and change (1 in, -1 out) of a uniform sample of k rows of each stratum.
+
+    A row's draw is a hash of its id, so the sample is the k smallest draws of all rows so far, whatever the batches, repeats and
+    restarts. A stratum is spread over ``lanes`` keys that keep k rows each, so a hot one is not one task; ``sample_of`` merges.
+    """
+    with_state_store(s.sparkSession)
+    kind = s.schema[stratum].dataType.simpleString()
+    d = s.select(F.col(stratum).alias("stratum"), F.pmod(F.xxhash64(F.lit(seed + 1), row_id), F.lit(lanes)).alias("lane"), F.xxhash64(F.lit(seed), row_id).alias("draw"), F.col(row_id).cast("long").alias("id"))
+    return d.groupBy("stratum", "lane").transformWithState(BottomK(k), f"stratum {kind}, draw long, id long, change int", "Append", "None")
+
+
+def sample_of(changes: DataFrame, k: int) -> DataFrame:
+    """stratum and id of the sample after the changes read so far."""
+    from pyspark.sql import Window
+
+    live = changes.groupBy("stratum", "draw", "id").agg(F.sum("change").alias("n")).where("n > 0")
+    w = Window.partitionBy("stratum").orderBy("draw", "id")
+    return live.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("stratum", "id", "draw")
