@@ -154,12 +154,12 @@ class RunningDelta(StatefulProcessor):
             if last is not None and r.ts_us - last > self.idle * 1000:
                 total, high, low = 0.0, None, None
             total += r.delta
-            high, low, last = total if high is None else max(high, total), total if low is None else min(low, total), r.ts_us
+            high, low, last, end = total if high is None else max(high, total), total if low is None else min(low, total), r.ts_us, r.end_us
             yield Row(symbol=key[0], ts_us=r.ts_us, cum_delta=total, session_high=high, session_low=low)
         self.total.update((total, high, low, last))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(last // 1000 + self.idle)
+        self.handle.registerTimer(end // 1000 + self.idle + 1)  # a bar that goes on with the session has closed by then
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.total.clear()
@@ -170,13 +170,13 @@ class RunningDelta(StatefulProcessor):
 
 
 def running_delta(bars: DataFrame, idle_seconds: int) -> DataFrame:
-    """symbol, ts, cum_delta, session_high and session_low over a stream of closed bars (symbol, ts, delta), in the same query that makes the bars.
+    """symbol, ts, cum_delta, session_high and session_low over a stream of closed bars (symbol, ts, ts_end, delta), in the same query that makes the bars.
 
     A session ends when a symbol has no bar for ``idle_seconds``; the next bar starts from nothing.
     """
     with_state_store(bars.sparkSession)
     kind = bars.schema["symbol"].dataType.simpleString()
-    out = bars.withColumn("ts_us", F.unix_micros("ts")).groupBy("symbol").transformWithState(
+    out = bars.withColumn("ts_us", F.unix_micros("ts")).withColumn("end_us", F.unix_micros("ts_end")).groupBy("symbol").transformWithState(
         RunningDelta(idle_seconds * 1000), f"symbol {kind}, ts_us long, cum_delta double, session_high double, session_low double", "Append", "EventTime")
     return out.select("symbol", F.timestamp_micros("ts_us").alias("ts"), "cum_delta", "session_high", "session_low")
 
