@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.mathx import chi2_sf_any, ks_p, safe_div, two_sided_p
 from tapeworks.operators.cleaning import unpivot
+from tapeworks.operators.models import assembled
 from tapeworks.plans.orderstats import attach_stats, cumulative_counts, quantiles
 from tapeworks.plans.panel import join_on
 
@@ -101,9 +102,9 @@ def adversarial(base: DataFrame, cur: DataFrame, cols: Sequence[str], seed: int
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.feature import StandardScaler
     d = base.select(*cols, F.lit(0.0).alias("label")).unionByName(cur.select(*cols, F.lit(1.0).alias("label")))
-    st = [VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip"), StandardScaler(inputCol="_v", outputCol="features"), LogisticRegression(maxIter=20, regParam=1e-4)]
+    st = [*assembled(cols, "_v"), StandardScaler(inputCol="_v", outputCol="features"), LogisticRegression(maxIter=20, regParam=1e-4)]
     m = Pipeline(stages=st).fit(d)
     auc = BinaryClassificationEvaluator().evaluate(m.transform(d))
     return base.sparkSession.createDataFrame([(float(auc), int(auc > .6))], "auc double, drifted int")

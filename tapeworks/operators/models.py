@@ -18,36 +18,57 @@ def _estimator(kind: str, label: str, params: Mapping | None = None, seed: int =
     return made.copy({made.getParam(k): v for k, v in (params or {}).items()})
 
 
-def pipeline(kind: str, cols: Sequence[str], label: str, params: Mapping | None = None, scale: bool = True):
-    """assemble -> scale -> model; scaling is fitted on whatever the pipeline is fitted on, so folds do not leak."""
+def assembled(cols: Sequence[str], out: str, impute: bool = True) -> list:
+    """Stages that gather columns into a vector without losing a row: missing values become the mean of the rows fitted on, or stay NaN."""
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    if not impute:
+        return [VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep")]
+    full = [f"_full_{c}" for c in cols]
+    return [Imputer(strategy="mean", inputCols=list(cols), outputCols=full), VectorAssembler(inputCols=full, outputCol=out)]
+
+
+def labelled(df: DataFrame, cols: Sequence[str], label: str) -> tuple[DataFrame, tuple[int, int, int]]:
+    """The rows that have a label; and how many those are, how many of them miss a feature, and how many rows have no label."""
+    gap = F.col(cols[0]).isNull() | F.isnan(F.col(cols[0]).cast("double"))
+    for c in cols[1:]:
+        gap = gap | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    has = F.col(label).isNotNull()
+    n = df.agg(F.count_if(has), F.count_if(has & gap), F.count_if(~has)).first()
+    return df.where(has), tuple(n)
+
+
+COUNTS = "n_rows long, n_imputed long, n_unlabelled long"
+
+
+def pipeline(kind: str, cols: Sequence[str], label: str, params: Mapping | None = None, scale: bool = True, impute: bool = True):
+    """assemble -> scale -> model; means and scaling are fitted on whatever the pipeline is fitted on, so folds do not leak."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, VectorAssembler
-    st = [VectorAssembler(inputCols=list(cols), outputCol="_raw", handleInvalid="skip")]
+    st = assembled(cols, "_raw", impute)
     st.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=True) if scale else VectorAssembler(inputCols=["_raw"], outputCol="features"))
     return Pipeline(stages=st + [_estimator(kind, label, params)])
 
 
 def train(df: DataFrame, kind: str, cols: Sequence[str], label: str, params: Mapping | None = None):
     """Fitted on the rows that have all features and the label; scoring keeps every row it is given, features missing as NaN."""
-    model = pipeline(kind, cols, label, params).fit(df.dropna(subset=[*cols, label]))
-    model.stages[0].setHandleInvalid("keep")
-    return model
+    return pipeline(kind, cols, label, params, impute=False).fit(df.dropna(subset=[*cols, label]))
 
 
 def select_model(df: DataFrame, kinds: Sequence[str], cols: Sequence[str], label: str, fold: str, metric: str = "rmse", params: Mapping | None = None) -> DataFrame:
-    """Cross-validated score per model over an integer fold column."""
+    """Cross-validated score per model over an integer fold column, on every labelled row; with the rows' counts."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
     df = df.persist()  # every model and fold rereads it
+    every, (df, counts) = df, labelled(df, cols, label)
     k = df.agg(F.max(fold)).first()[0] + 1
     ev = RegressionEvaluator(labelCol=label, metricName=metric)
     rows = []
     for kind in kinds:
         cv = CrossValidator(estimator=pipeline(kind, cols, label, (params or {}).get(kind)), estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev, numFolds=int(k), foldCol=fold, parallelism=2)
         m = cv.fit(df)
-        rows.append((kind, float(m.avgMetrics[0]), float(m.stdMetrics[0])))
-    df.unpersist()
-    return df.sparkSession.createDataFrame(rows, "model string, score double, std double").orderBy("score")
+        rows.append((kind, float(m.avgMetrics[0]), float(m.stdMetrics[0]), *counts))
+    every.unpersist()
+    return df.sparkSession.createDataFrame(rows, f"model string, score double, std double, {COUNTS}").orderBy("score")
 
 
 def grid_search(df: DataFrame, kind: str, cols: Sequence[str], label: str, grid: Mapping[str, Sequence], metric: str = "rmse", samples: int | None = None, seed: int = 42, parallelism: int = 2):
@@ -56,6 +77,7 @@ def grid_search(df: DataFrame, kind: str, cols: Sequence[str], label: str, grid:
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
     df = df.persist()
+    every, (df, counts) = df, labelled(df, cols, label)
     pl = pipeline(kind, cols, label)
     est = pl.getStages()[-1]
     b = ParamGridBuilder()
@@ -65,9 +87,9 @@ def grid_search(df: DataFrame, kind: str, cols: Sequence[str], label: str, grid:
     if samples is not None and samples < len(maps):
         maps = random.Random(seed).sample(maps, samples)
     m = TrainValidationSplit(estimator=pl, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=label, metricName=metric), trainRatio=.8, seed=seed, parallelism=parallelism).fit(df)
-    rows = [(", ".join(f"{p.name}={v}" for p, v in pm.items()), float(s)) for pm, s in zip(maps, m.validationMetrics)]
-    df.unpersist()
-    return m.bestModel, df.sparkSession.createDataFrame(rows, "params string, score double")
+    rows = [(", ".join(f"{p.name}={v}" for p, v in pm.items()), float(s), *counts) for pm, s in zip(maps, m.validationMetrics)]
+    every.unpersist()
+    return m.bestModel, df.sparkSession.createDataFrame(rows, f"params string, score double, {COUNTS}")
 
 
 def seasonal_forecast(df: DataFrame, horizon: int, step_seconds: int, periods: Mapping[str, tuple[float, int]], ridge: float = 1.0, series: str = "series", y: str = "y", level_z: float = 1.96,

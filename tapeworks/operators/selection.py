@@ -11,6 +11,7 @@ from tapeworks.functions.mathx import safe_div
 from tapeworks.functions.sampling import hash_uniform
 from tapeworks.operators.cleaning import unpivot
 from tapeworks.operators.crossasset import contingency_information
+from tapeworks.operators.models import assembled
 from tapeworks.operators.quality import correlation_long
 from tapeworks.plans.orderstats import quantiles
 from tapeworks.plans.panel import Panel, join_on, number_rows
@@ -55,10 +56,9 @@ def information_scores(df: DataFrame, cols: Sequence[str], target: str, bins: in
 def model_importances(df: DataFrame, cols: Sequence[str], target: str, classify: bool = False, trees: int = 50, depth: int = 6, seed: int = 42) -> DataFrame:
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
     rf = (RandomForestClassifier if classify else RandomForestRegressor)(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed)
-    m = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="_x", handleInvalid="skip"), rf]).fit(df)
+    m = Pipeline(stages=[*assembled(cols, "_x"), rf]).fit(df.where(F.col(target).isNotNull()))
     imp = m.stages[-1].featureImportances.toArray()
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(cols, imp)], "feature string, score double")
 

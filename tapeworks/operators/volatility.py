@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.mathx import clip, norm_cdf, norm_sf, ratio, safe_div, two_sided_p
 from tapeworks.operators.bars import resample_last
+from tapeworks.operators.models import assembled
 from tapeworks.plans.panel import Panel, islands, join_on
 
 PANEL = Panel()
@@ -195,11 +196,9 @@ def volatility_matrix(df: DataFrame, n: int = 20, c: str = "close", p: Panel = P
 
 def fit_volatility_forest(df: DataFrame, features: Sequence[str], label: str, trees: int = 50, depth: int = 6, seed: int = 42):
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
-    st = [VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip"),
-          RandomForestRegressor(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)]
-    return Pipeline(stages=st).fit(df)
+    st = [*assembled(features, "_x"), RandomForestRegressor(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)]
+    return Pipeline(stages=st).fit(df.where(F.col(label).isNotNull()))
 
 
 def ensemble_weights(scores: DataFrame, model: str = "model", y: str = "y", pred: str = "prediction") -> DataFrame:

@@ -213,3 +213,16 @@ def test_alerts_do_not_depend_on_batches_and_leave_no_state(spark, batches):
     got = [(int(r.ts.timestamp() - 86400) // 60, r.event, r.severity) for r in FL.drain(K.alert_lifecycle(samples, commands, "0 seconds", 3600)).orderBy("ts").collect()]
     want = [(0, "opened", "warning"), (10, "acknowledged", "warning"), (20, "escalated", "critical"), (25, "resolved", "critical"), (40, "opened", "warning"), (100, "expired", "warning"), (210, "opened", "critical"), (270, "expired", "critical")]
     assert got == want
+
+
+def test_models_score_every_row(spark):
+    """Missing features are filled with the means of the rows fitted on; rows without a label are counted."""
+    from tapeworks.operators import models as M
+    from tapeworks.operators import selection as S
+    d = spark.range(120).select("id", F.when(F.col("id") % 6 > 0, F.col("id").cast("double")).alias("a"), (F.col("id") % 7).cast("double").alias("b"), F.when(F.col("id") % 10 > 0, F.col("id") * 2.0).alias("y"), (F.col("id") % 3).cast("int").alias("fold"))
+    r = M.select_model(d, ["linear"], ["a", "b"], "y", "fold").first()
+    assert (r.n_rows, r.n_imputed, r.n_unlabelled) == (108, 16, 12)
+    best, table = M.grid_search(d, "linear", ["a", "b"], "y", {"regParam": [0.0, 0.1]})
+    assert best.transform(d).count() == 120 and table.count() == 2
+    assert M.train(d, "linear", ["a", "b"], "y").transform(d).count() == 120
+    assert S.model_importances(d, ["a", "b"], "y", trees=3).count() == 2
