@@ -5,12 +5,14 @@ sqrt(2). For a class, a document is cut into windows of 1.5 times the class's la
 wherever an item stands, some window holds it whole and is not much longer than it: the similarity to be found is that of
 item and window, never that of item and document. Window and item are compared by ``hashes`` MinHash values of one hash
 each; a single equal value makes the document a candidate of the item. With containment of 0.8 and 32 values a window misses
-an item with probability below 1e-5, and neighbouring windows mostly hold it again. Candidates are verified exactly: the share
-of the item's distinct shingles that the whole document has.
+an item with probability below 1e-5, and neighbouring windows mostly hold it again. Items of at most ``SHORT`` shingles, of which
+a window would be too small a part to say so, are looked up by each of their shingles: a document with any of them is a candidate.
+Candidates are verified exactly: the share of the item's distinct shingles that the whole document has.
 
 Items travel to the tasks as a broadcast of at most ``most_shingles`` shingles; more items are searched in several blocks of
 that bound, one pass over the documents each. Items or documents with fewer than k words have no shingle and match
-nothing; null texts count as empty; repeated items and documents each give their own rows; either table may be empty.
+nothing; null texts count as empty; repeated items and documents each give their own rows; either table may be empty. A doc_id is
+an integer or null. ``carry`` names columns of the documents that follow containment in the result.
 """
 from __future__ import annotations
 
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from tapeworks.llm.hashing import U, grams, mix, slices, texts, word_hashes
 
 SCHEMA = "doc_id long, item_id long, containment double"
+SHORT = 3
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("containment", pa.float64())])
 
 
@@ -40,8 +43,13 @@ class Items:
         self.ids, self.sets, self.hashes = item_ids, sets, hashes
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         by: dict[int, list[int]] = {}
+        short = [i for i, s in enumerate(sets) if len(s) <= SHORT]
+        keys = np.concatenate([np.zeros(0, U), *[sets[i] for i in short]])
+        order = np.argsort(keys, kind="stable")
+        self.short = keys[order], np.repeat(short, [len(sets[i]) for i in short]).astype(np.int64)[order]
         for i, s in enumerate(sets):
-            by.setdefault(size_class(len(s)), []).append(i)
+            if len(s) > SHORT:
+                by.setdefault(size_class(len(s)), []).append(i)
         for top, members in by.items():
             values = []
             for seed in range(hashes):
@@ -53,6 +61,12 @@ class Items:
     def candidates(self, h: np.ndarray, cut: np.ndarray) -> list[tuple[int, int]]:
         """Distinct (document number, item number) pairs, from the shingles of documents that lie one after the other."""
         found = []
+        v, item = self.short
+        if len(v):
+            lo, hi = np.searchsorted(v, h), np.searchsorted(v, h, "right")
+            for w in np.flatnonzero(hi > lo):
+                d = int(np.searchsorted(cut, w, "right")) - 1
+                found += [(d, int(i)) for i in item[lo[w]:hi[w]]]
         starts, doc = {}, {}
         for top in self.classes:
             half = (top + 1) // 2
@@ -105,9 +119,11 @@ def blocks(items: DataFrame, k: int, most_shingles: int):
         yield ids, sets
 
 
-def contained(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, hashes: int = 32, most_shingles: int = 1_000_000) -> DataFrame:
-    """doc_id, item_id and containment of every pair with at least ``least`` of the item's shingles in the document."""
+def contained(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, hashes: int = 32, most_shingles: int = 1_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, item_id, containment and the carried columns of every pair with at least ``least`` of the item's shingles in the document."""
     spark = docs.sparkSession
+    read = docs.select("doc_id", "text", *carry)
+    schema = ", ".join([SCHEMA, *[f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[2:]]])
     out = None
     for ids, sets in blocks(items, k, most_shingles):
         known = spark.sparkContext.broadcast((ids, sets))
@@ -115,7 +131,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8,
         def search(batches, known=known):
             index = Items(*known.value, hashes)
             for batch in batches:
-                rows = []
+                rows, at = [], []
                 buf, off = texts(batch["text"])
                 doc_ids = batch["doc_id"].cast(pa.int64()).to_pylist()
                 for i, j in slices(off):
@@ -131,8 +147,11 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8,
                         for item, share in zip(some, index.verified(h[cut[d]:cut[d + 1]], some)):
                             if share >= least:
                                 rows.append((doc_ids[i + d], index.ids[item], share))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[], [], []], _OUT.types)], schema=_OUT)
+                                at.append(i + d)
+                found = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[], [], []], _OUT.types)]
+                more = [batch[c].take(pa.array(at, pa.int64())) for c in carry]
+                yield pa.RecordBatch.from_arrays(found + more, names=[*_OUT.names, *carry])
 
-        part = docs.select("doc_id", "text").mapInArrow(search, SCHEMA)
+        part = read.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+    return out if out is not None else spark.createDataFrame([], schema)

@@ -204,3 +204,20 @@ def test_op8_containment(spark, odd, none):
     for most in (1_000_000, 10):
         assert sorted((tuple(r) for r in contained(odd, items, most_shingles=most).collect()), key=repr) == brute(odd)
     assert contained(none, items).count() == 0 and contained(odd, items.where("false")).count() == 0
+
+
+def test_op8_short_items(spark):
+    """Items of one to three shingles are found wherever they stand: first, last or inside long documents."""
+    from tapeworks.llm.op8_contain import contained
+
+    filler = [[f"f{(i * 31 + d) % 1999}" for i in range(400)] for d in range(200)]
+    items = [(n, [f"item{n}w{i}" for i in range(4 + n)]) for n in (1, 2, 3)]
+    docs, want = [], set()
+    for d, words_ in enumerate(filler):
+        item_id, text = items[d % 3]
+        at = (0, len(words_), d * 2)[d // 3 % 3]
+        docs.append((d, " ".join(words_[:at] + text + words_[at:]), d % 7))
+        want.add((d, item_id, 1.0, d % 7))
+    docs.append((900, " ".join(items[2][1][:-1]), 1))  # two of three shingles
+    got = contained(spark.createDataFrame(docs, "doc_id long, text string, row long"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"), carry=("row",))
+    assert {tuple(r) for r in got.collect()} == want
