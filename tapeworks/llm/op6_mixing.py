@@ -4,8 +4,10 @@ A naive Bayes classifier over hashed words is fitted on a bounded sample of labe
 most) and gives every document a posterior over the domains, tempered to minimize the sample's log loss. A document of n words
 with rate r is expected to give r * n * posterior words to each domain. Non-negative rates are fitted by projected gradient
 descent from the even rate to the least squares of expected against target words; the gradient is scaled by the second moments
-of the posteriors of documents with a positive rate, as weighted by words, so few iterations do. Posteriors are kept in steps of 1 / STEPS, so documents with one posterior have one rate, each iteration is a
-sum over at most that many cells, and the driver holds only the domains' sums.
+of the posteriors of documents with a positive rate, as weighted by words, so few iterations do. Documents whose posteriors
+round to one multiple of 1 / STEPS form a cell and share a rate; a cell carries the word-weighted sums of their unrounded
+posteriors, so the totals fitted are those of the posteriors as returned. Each iteration is a sum over the cells, and the driver
+holds only the domains' sums.
 
 Null and empty texts have no words, the prior as posterior and the rate that belongs to it; without labelled rows every domain is
 equally likely. Domains with a target that no document leads to stay short of it. Repeated rows get equal rates; an empty table
@@ -23,7 +25,7 @@ from tapeworks.llm.learning import sample
 from tapeworks.llm.op1_outliers import let
 from tapeworks.session import ensure_checkpoint_dir
 
-BUCKETS, STEPS, RIDGE, ITERATIONS, CLOSE = 4_096, 64, 0.05, 24, 1e-4
+BUCKETS, STEPS, RIDGE, ITERATIONS, CLOSE = 16_384, 64, 0.05, 24, 1e-4
 TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 #: target share of words and the rule of each domain, over the labels' columns
 DOMAINS = {"clean": (0.85, "toxic = 0 AND quality = 1"), "junk": (0.1, "toxic = 0 AND quality = 0"), "toxic": (0.05, "toxic = 1")}
@@ -45,7 +47,7 @@ class Classifier:
 
     def evidence(self, text: Column) -> Column:
         """Number of words and, for each domain after the first, the mean of its word weights times the root of that number."""
-        tables = [F.split(F.lit(",".join(f"{x:.2f}" for x in w)), ",").cast("array<double>") for w in self.weights]
+        tables = [F.split(F.lit(",".join(f"{x:.4f}" for x in w)), ",").cast("array<double>") for w in self.weights]
 
         def summed(buckets: Column, table: Column) -> Column:
             return F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.get(table, b))
@@ -91,12 +93,15 @@ def fit(docs: DataFrame, labels: DataFrame, domains: dict[str, tuple[float, str]
 
 
 def memberships(docs: DataFrame, model: Classifier, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the carried columns, n_words and p0.. in steps of 1 / STEPS; the first domain has what the others leave."""
+    """doc_id, the carried columns, n_words and the posteriors p0.."""
     scored = docs.select("doc_id", *carry, model.evidence(F.col("text")).alias("e")).select("doc_id", *carry, "e.*")
-    p = model.posterior(model.temperature)
-    out = scored.select("doc_id", *carry, "n_words", *[(F.floor(x * STEPS + 0.5) / STEPS).alias(f"p{i}") for i, x in enumerate(p) if i])
-    rest = reduce(lambda a, b: a - b, [F.col(f"p{i}") for i in range(1, len(p))], F.lit(1.0))
-    return out.withColumn("p0", F.greatest(rest, F.lit(0.0)))
+    return scored.select("doc_id", *carry, "n_words", *[x.alias(f"p{i}") for i, x in enumerate(model.posterior(model.temperature))])
+
+
+def _cell(k: int) -> list[Column]:
+    """The posteriors p0.. in steps of 1 / STEPS; the first has what the others leave."""
+    steps = [F.floor(F.col(f"p{i}") * STEPS + 0.5) / STEPS for i in range(1, k)]
+    return [F.greatest(reduce(lambda a, b: a - b, steps, F.lit(1.0)), F.lit(0.0)), *steps]
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -116,12 +121,18 @@ def rates(members: DataFrame, shares: list[float], budget: float) -> Column:
     """The fitted rate as an expression over p0... budget: target words over all words of the table."""
     k = len(shares)
     p = [F.col(f"p{i}") for i in range(k)]
-    cells = members.where("n_words > 0").groupBy(*[f"p{i}" for i in range(k)]).agg(F.sum("n_words").cast("double").alias("n")).coalesce(1).checkpoint()
     pairs = [(i, j) for i in range(k) for j in range(i + 1)]
-    rate, before = F.lit(float(budget)), None
+    n = F.col("n_words").cast("double")
+    cells = members.where("n_words > 0").groupBy(*[c.alias(f"c{i}") for i, c in enumerate(_cell(k))]).agg(
+        F.sum(n).alias("n"), *[F.sum(n * x).alias(f"s{i}") for i, x in enumerate(p)], *[F.sum(n * p[i] * p[j]).alias(f"m{i}{j}") for i, j in pairs]).coalesce(1).checkpoint()
+
+    def rate(at: list[Column], moves: list[list[float]]) -> Column:
+        return reduce(lambda r, w: F.greatest(F.lit(0.0), r - reduce(lambda a, b: a + b, [x * y for x, y in zip(at, w)])), moves, F.lit(float(budget)))
+
+    moves, before = [], None
     for _ in range(ITERATIONS):
-        held = cells.withColumn("rate", rate).withColumn("live", F.when(F.col("rate") > 0, F.col("n")).otherwise(0.0))
-        got = held.agg(F.sum("n"), *[F.sum(F.col("n") * F.col("rate") * x) for x in p], *[F.sum(F.col("live") * p[i] * p[j]) for i, j in pairs]).first()
+        held = cells.withColumn("rate", rate([F.col(f"c{i}") for i in range(k)], moves)).withColumn("live", (F.col("rate") > 0).cast("double"))
+        got = held.agg(F.sum("n"), *[F.sum(F.col("rate") * F.col(f"s{i}")) for i in range(k)], *[F.sum(F.col("live") * F.col(f"m{i}{j}")) for i, j in pairs]).first()
         words = got[0] or 1.0
         gap = [(x or 0.0) / words - s * budget for x, s in zip(got[1:k + 1], shares)]
         if max(abs(g) for g in gap) < CLOSE * budget or before and max(abs(g - b) for g, b in zip(gap, before)) < CLOSE * budget / 10:
@@ -129,8 +140,8 @@ def rates(members: DataFrame, shares: list[float], budget: float) -> Column:
         before = gap
         moment = {ij: (x or 0.0) / words for ij, x in zip(pairs, got[k + 1:])}
         full = [[moment[max(i, j), min(i, j)] + (RIDGE * max(moment[i, i], 1e-4) if i == j else 0.0) for j in range(k)] for i in range(k)]
-        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [x * w for x, w in zip(p, _solve(full, gap))]))
-    return rate
+        moves.append(_solve(full, gap))
+    return rate(_cell(k), moves)
 
 
 def mix(docs: DataFrame, labels: DataFrame, domains: dict[str, tuple[float, str]] = DOMAINS, budget: float = 0.5, most: int = 3000, carry: tuple[str, ...] = ()) -> DataFrame:
