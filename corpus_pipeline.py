@@ -3,14 +3,16 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written as
 Parquet and read again as the next one's docs. All but the last return the columns of ``documents``; the last adds rates.
 
-Rows that share a doc_id stay or go together in stages that drop documents; rows with a null doc_id are never near duplicates
-and share one verdict elsewhere. Columns beyond those of documents are dropped by the first stage.
+Quality rules and benchmark decontamination decide by row: rows that share a doc_id, or have none, and differ otherwise have
+verdicts of their own. Rows that share a doc_id are one document to the near-duplicate stage and stay or go together there;
+rows with a null doc_id are never near duplicates. Columns beyond those of documents are dropped by the first stage.
 """
 from __future__ import annotations
 
+from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.llm.op1_outliers import quality
@@ -24,24 +26,31 @@ FEW = 500_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among ids (one column); a null is equal to a null.
+def row_key() -> Column:
+    """Tells rows of one doc_id apart by all that a verdict depends on."""
+    return F.xxhash64("text", "lang", "source", F.col("text").isNull(), F.col("lang").isNull())
 
-    Up to ``FEW`` ids, as counted, are broadcast so that texts needn't move; more are joined by shuffle.
+
+def without(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """The documents whose keys are not a row of gone; a null is equal to a null.
+
+    Up to ``FEW`` rows, as counted, are broadcast so that texts needn't move; more are joined by shuffle.
     """
-    gone = ids.toDF("gone").distinct().checkpoint()
+    names = [f"_gone{i}" for i in range(len(keys))]
+    gone = gone.toDF(*names).distinct().checkpoint()
     gone = F.broadcast(gone) if gone.count() <= FEW else gone.hint("merge")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    return docs.join(gone, reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(n)) for k, n in zip(keys, names)]), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the robust distances reject."""
-    return without(docs.select(*COLUMNS), quality(docs).where("NOT kept").select("doc_id"))
+    rows = docs.select(F.struct("doc_id", row_key().alias("row")).alias("doc_id"), "lang", "source", "text")
+    return without(docs.select(*COLUMNS), [F.col("doc_id"), row_key()], quality(rows).where("NOT kept").select("doc_id.*"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group linked by 5-word shingles at a similarity of 0.8 or more."""
-    return without(docs, jaccard_join(docs, k=5, num=80, den=100).where("component_id <> doc_id").select("doc_id"))
+    return without(docs, [F.col("doc_id")], jaccard_join(docs, k=5, num=80, den=100).where("component_id <> doc_id").select("doc_id"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +63,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return without(docs, contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
+    rows = docs.select("doc_id", "text", row_key().alias("row"))
+    return without(docs, [F.col("doc_id"), row_key()], contained(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("row",)).select("doc_id", "row"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
