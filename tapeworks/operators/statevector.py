@@ -15,10 +15,14 @@ from tapeworks.functions.mathx import clip, ratio, safe_div
 from tapeworks.operators import indicators as I
 from tapeworks.operators.cleaning import rolling_znorm
 from tapeworks.operators.volatility import range_volatility
-from tapeworks.plans.panel import Panel
+from tapeworks.plans.panel import Panel, on_chunks
 
 PANEL = Panel()
 SIZES = {"v1": 768, "v2": 1024}
+#: fixed values: groups of the 768-position vector in order, with their widths
+LAYOUT = {"ohlcv": 20, "technical": 160, "volume": 32, "orderbook": 80, "cross_asset": 20, "regime": 10, "portfolio": 50, "symbol": 16, "temporal": 10, "history": 370}
+#: fixed values: look-back periods of the history group, in bars
+PERIODS = (1, 2, 4, 8, 12, 24, 48, 72, 168)
 
 
 def pivot_block(df: DataFrame, symbols: Sequence, cols: Sequence[str]) -> DataFrame:
@@ -102,6 +106,102 @@ def assemble(blocks: Mapping[str, DataFrame], size: int) -> tuple[DataFrame, lis
     return out.select("ts", F.concat(F.array(*packed), pad).alias("state")), imap
 
 
+# -- fixed layout -------------------------------------------------------------------------
+
+def volume_block(df: DataFrame, p: Panel = PANEL) -> tuple[DataFrame, list[str]]:
+    """Volume against its means of 20 and 50 bars, changes over 1, 4 and 24 bars, rank in the last 169, spike flag, correlation with price over 25."""
+    v, cols = F.col("volume"), ["ratio_20", "ratio_50", "change_1", "change_4", "change_24", "rank", "spike", "price_corr"]
+    full = lambda n: F.when(F.count("volume").over(p.trailing(n)) == n, F.avg("volume").over(p.trailing(n)))
+    within = lambda x, lo, hi, default: F.when(x.isNotNull(), clip(x, lo, hi) / 5).otherwise(default)
+    share = lambda n: within(v / (full(n) + 1e-8), 0.0, 5.0, 0.2)
+    change = lambda n: within((v - F.lag(v, n).over(p.w)) / (F.lag(v, n).over(p.w) + 1e-8), -5.0, 5.0, 0.0)
+    d = df.withColumn("_l", F.collect_list("volume").over(p.trailing(169))).withColumn("_c", F.corr("volume", "close").over(p.trailing(25)))
+    out = [share(20), share(50), change(1), change(4), change(24), F.size(F.filter("_l", lambda x: x <= v)) / F.size("_l"),
+           F.coalesce((v > 2 * full(20)).cast("double"), F.lit(0.0)), F.coalesce(F.nanvl("_c", F.lit(0.0)), F.lit(0.0))]
+    return d.select(*p.keys, *p.order, *[e.alias(c) for e, c in zip(out, cols)]), cols
+
+
+def history_block(df: DataFrame, periods: Sequence[int] = PERIODS, p: Panel = PANEL, bucket=None, rows: int = 50_000) -> tuple[DataFrame, list[str]]:
+    """Return, volatility, range, change of return and change of volume over each period, 0 until the period is full.
+
+    All of them are cut from one array of the last ``max(periods) + 1`` bars, collected once per row on chunks with that halo.
+    """
+    n = max(periods)
+    names = [f"{f}_{q}" for f in ("return", "volatility", "range", "momentum", "volume_change") for q in periods]
+
+    def cut(d: DataFrame, q: Panel) -> DataFrame:
+        bar = F.struct(F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"))
+        d = d.withColumn("_b", F.collect_list(bar).over(q.trailing(n + 1)))
+        at = lambda back: F.get(F.col("_b"), F.size("_b") - 1 - back)
+        d = d.withColumn("_ret", F.expr("transform(slice(_b, 2, greatest(size(_b) - 1, 0)), (x, i) -> (x.c - _b[i].c) / (_b[i].c + 1e-8D))"))
+        c, v = F.col("close"), F.col("volume")
+        ret = lambda back: F.get(F.col("_ret"), F.size("_ret") - 1 - back)
+
+        def deviation(k: int):
+            last = F.slice("_ret", -k, k)
+            mean = F.array(F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / k)  # bound by a lambda, or each element would sum anew
+            return F.sqrt(F.get(F.transform(mean, lambda m: F.aggregate(last, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / k), F.lit(0)))
+
+        def spread(k: int):
+            last = F.slice("_b", -(k + 1), k + 1)
+            return (F.array_max(F.transform(last, lambda x: x["h"])) - F.array_min(F.transform(last, lambda x: x["l"]))) / (c + 1e-8)
+
+        def when(k: int, e):  # the period is full where there is a bar k back
+            return F.when(F.size("_b") > k, e).otherwise(0.0)
+        out = [when(k, clip((c - at(k)["c"]) / (at(k)["c"] + 1e-8), -1.0, 1.0)) for k in periods]
+        out += [when(k, clip(deviation(k), 0.0, 1.0)) for k in periods]
+        out += [when(k, clip(spread(k), 0.0, 1.0)) for k in periods]
+        out += [F.when(F.col("_rn") > k + 1, clip(ret(0) - ret(1), -1.0, 1.0)).otherwise(0.0) for k in periods]
+        out += [when(k, clip((v - at(k)["v"]) / (at(k)["v"] + 1e-8), -5.0, 5.0) / 5) for k in periods]
+        return d.select("_chunk", "_home", "_rn", "_pos", *p.keys, *p.order, *[e.alias(x) for e, x in zip(out, names)])
+
+    return on_chunks(df, p, cut, before=n, bucket=bucket, rows=rows), names
+
+
+def temporal_block(times: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Hour, weekday, day and month as points on a circle, weekend, and 1 for a market that never closes; one row per ts."""
+    turn = {"hour": F.hour("ts") / 24, "weekday": F.weekday("ts") / 7, "day": (F.dayofmonth("ts") - 1) / 31, "month": (F.month("ts") - 1) / 12}
+    out = {f"{k}_{f}": g(2 * math.pi * e) for k, e in turn.items() for f, g in (("sin", F.sin), ("cos", F.cos))}
+    out |= {"weekend": (F.weekday("ts") >= 5).cast("double"), "open": F.lit(1.0)}
+    return times.select("ts", *[e.alias(k) for k, e in out.items()]), list(out)
+
+
+def positions(symbols: Sequence, by_symbol: Mapping[str, Sequence[str]], by_time: Mapping[str, Sequence[str]], layout: Mapping[str, int] = LAYOUT) -> list[tuple]:
+    """(position, group, symbol, feature) of the whole layout; symbol and feature are None where a position is padding."""
+    out = []
+    for group, width in layout.items():
+        held = [(str(s), f) for s in symbols for f in by_symbol.get(group, ())] or [(None, f) for f in by_time.get(group, ())]
+        if len(held) > width:
+            raise ValueError(f"{len(held)} features exceed the {width} positions of {group}")
+        out += [(len(out) + i, group, *(held[i] if i < len(held) else (None, None))) for i in range(width)]
+    return out
+
+
+def laid_out(symbols: Sequence, by_symbol: Mapping[str, tuple[DataFrame, Sequence[str]]], by_time: Mapping[str, tuple[DataFrame, Sequence[str]]],
+             layout: Mapping[str, int] = LAYOUT, kind: str = "float") -> tuple[DataFrame, list[tuple]]:
+    """One row per ts that every symbol has, with ``state`` in the fixed layout, and its map.
+
+    ``by_symbol`` holds frames of (symbol, ts, features), ``by_time`` frames of (ts, features); groups in neither are zeros.
+    """
+    out = None
+    parts = {}
+    for group, (d, cols) in by_symbol.items():
+        packed = F.array(*[F.coalesce(F.col(c).cast(kind), F.lit(0.0).cast(kind)) for c in cols])
+        g = d.groupBy("ts").agg(*[F.first(F.when(F.col("symbol") == s, packed), ignorenulls=True).alias(f"{group}__{i}") for i, s in enumerate(symbols)]).dropna()
+        parts[group] = [F.col(f"{group}__{i}") for i in range(len(symbols))], len(symbols) * len(cols)
+        out = g if out is None else out.join(g, "ts")
+    for group, (d, cols) in by_time.items():
+        g = d.select("ts", F.array(*[F.coalesce(F.col(c).cast(kind), F.lit(0.0).cast(kind)) for c in cols]).alias(group))
+        parts[group] = [F.col(group)], len(cols)
+        out = g if out is None else out.join(g, "ts")
+    arrays = []
+    for group, width in layout.items():
+        have, n = parts.get(group, ([], 0))
+        arrays += have + ([F.array_repeat(F.lit(0.0).cast(kind), width - n)] if width > n else [])
+    names = {g: c for g, (_d, c) in by_symbol.items()}, {g: c for g, (_d, c) in by_time.items()}
+    return out.select("ts", F.concat(*arrays).alias("state")), positions(symbols, *names, layout)
+
+
 def slice_windows(states: DataFrame, start: int, end: int) -> DataFrame:
     """Rows [start, end) of the whole history by position in time (one row per grid step, so the numbering is grid-bounded)."""
     from pyspark.sql import Window

@@ -96,3 +96,58 @@ def _(s, d):
     I.write_indicator_table(bars, path)
     t = I.lookup_indicators(s, path, bars.select("symbol", "ts"))
     return rcols(t, ["symbol", "ts"], ["close", "sma_20"])
+
+
+FOUR = REGIONS[:4]
+
+
+def _history_sql():
+    """SQL lists of the volume and history features over the windows below, in the order of the blocks."""
+    P = SV.PERIODS
+    clip = lambda e, lo, hi: f"greatest(least({e}, {hi}), {lo})"
+    v = [f"coalesce({clip(f'volume / (CASE WHEN rn >= {n} THEN avg(volume) OVER w{n} END + 1e-8)', '0.0', '5.0')} / 5, 0.2)" for n in (20, 50)]
+    v = [x.replace("greatest(least(", f"CASE WHEN rn >= {n} THEN greatest(least(", 1).replace(") / 5, 0.2)", ") / 5 END, 0.2)") for x, n in zip(v, (20, 50))]
+    v += [f"CASE WHEN rn > {n} THEN {clip(f'(volume - lag(volume, {n}) OVER s) / (lag(volume, {n}) OVER s + 1e-8)', '-5.0', '5.0')} / 5 ELSE 0 END" for n in (1, 4, 24)]
+    v += ["len(list_filter(list(volume) OVER w169, lambda x: x <= volume)) / len(list(volume) OVER w169)", "CASE WHEN rn >= 20 AND volume > 2 * avg(volume) OVER w20 THEN 1 ELSE 0 END",
+          "CASE WHEN rn > 1 THEN coalesce(CASE WHEN isnan(corr(volume, close) OVER w25) THEN 0 ELSE corr(volume, close) OVER w25 END, 0) ELSE 0 END"]
+    h = [f"CASE WHEN rn > {q} THEN {clip(f'(close - lag(close, {q}) OVER s) / (lag(close, {q}) OVER s + 1e-8)', '-1.0', '1.0')} ELSE 0 END" for q in P]
+    h += [f"CASE WHEN rn > {q} THEN {clip(f'stddev_pop(r) OVER w{q}', '0.0', '1.0')} ELSE 0 END" for q in P]
+    h += [f"CASE WHEN rn > {q} THEN {clip(f'(max(high) OVER w{q + 1} - min(low) OVER w{q + 1}) / (close + 1e-8)', '0.0', '1.0')} ELSE 0 END" for q in P]
+    h += [f"CASE WHEN rn > {q + 1} THEN {clip('r - lag(r) OVER s', '-1.0', '1.0')} ELSE 0 END" for q in P]
+    h += [f"CASE WHEN rn > {q} THEN {clip(f'(volume - lag(volume, {q}) OVER s) / (lag(volume, {q}) OVER s + 1e-8)', '-5.0', '5.0')} / 5 ELSE 0 END" for q in P]
+    listed = lambda xs: "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in xs) + "]"
+    wins = sorted({20, 24, 25, 50, 169, *P, *[q + 1 for q in P]})
+    ohlcv = [zsql(c) for c in ("open", "high", "low", "close", "volume")]
+    return listed(ohlcv), listed(v), listed(h), win(*wins)
+
+
+def _positions_sql():
+    o, v, h, w = _history_sql()
+    turn = {"hour": "hour(t)/24.0", "weekday": "(isodow(t)-1)/7.0", "day": "(day(t)-1)/31.0", "month": "(month(t)-1)/12.0"}
+    times = ", ".join(f"{f}(2*pi()*CAST({e} AS DOUBLE))" for e in turn.values() for f in ("sin", "cos"))
+    times += ", CASE WHEN isodow(t) >= 6 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE"
+    one = ", ".join("'" + r + "'" for r in FOUR)
+    starts, at = {}, 0
+    for g, width in SV.LAYOUT.items():
+        starts[g], at = at, at + width
+    per = lambda g, n: f"SELECT ts, CAST({starts[g]} + (sn-1)*{n} + i - 1 AS INTEGER) AS position, {g}[i] AS x FROM f, range(1, {n + 1}) AS q(i)"
+    return f"""WITH {RB}, nr AS (SELECT *, (close - lag(close) OVER (PARTITION BY symbol ORDER BY ts)) / (lag(close) OVER (PARTITION BY symbol ORDER BY ts) + 1e-8) AS r FROM nb WHERE symbol IN ({one})),
+ al AS (SELECT symbol, ts, {o} AS ohlcv, {v} AS volume, {h} AS history FROM nr {w}),
+ f AS (SELECT *, list_position([{one}], symbol) AS sn FROM al WHERE ts IN (SELECT ts FROM al GROUP BY ts HAVING count(*) = {len(FOUR)})),
+ tm AS (SELECT DISTINCT ts, CAST(ts AS TIMESTAMP) AS t FROM f), tl AS (SELECT ts, [{times}] AS x FROM tm),
+ held AS ({per('ohlcv', 5)} UNION ALL {per('volume', 8)} UNION ALL {per('history', 45)} UNION ALL SELECT ts, CAST({starts['temporal']} + i - 1 AS INTEGER), x[i] FROM tl, range(1, 11) AS q(i)),
+ g AS (SELECT position, count(*) AS n, sum(x) AS total, sum(x * (1 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) % 97)) AS dated FROM held GROUP BY 1)
+ SELECT CAST(p AS INTEGER) AS position, CASE WHEN g.n IS NULL THEN 1 ELSE 0 END AS padding, (SELECT count(*) FROM tm) AS n, {R('coalesce(total, 0)', 'total', 3)}, {R('coalesce(dated, 0)', 'dated', 2)}
+ FROM range(768) AS a(p) LEFT JOIN g ON g.position = p"""
+
+
+@query("state_vector_positions", _positions_sql())
+def _(s, d):
+    """Every position of the fixed layout over all times: rows, sum, and a sum weighted by date."""
+    b = region_bars(s, d).where(F.col("symbol").isin(FOUR))
+    t = b.select("ts").distinct()
+    st, imap = SV.laid_out(FOUR, {"ohlcv": SV.ohlcv_block(b), "volume": SV.volume_block(b), "history": SV.history_block(b)}, {"temporal": SV.temporal_block(t)}, kind="double")
+    weight = 1 + F.pmod(F.datediff("ts", F.lit("1970-01-01").cast("date")), F.lit(97))
+    x = st.select(weight.alias("w"), F.posexplode("state").alias("position", "x")).groupBy("position").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"), F.sum(F.col("x") * F.col("w")).alias("dated"))
+    m = s.createDataFrame([(i, int(f is None)) for i, _g, _s, f in imap], "position int, padding int")
+    return x.join(F.broadcast(m), "position").select("position", "padding", "n", rd("total", 3).alias("total"), rd("dated", 2).alias("dated"))

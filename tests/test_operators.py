@@ -247,3 +247,43 @@ def test_bar_order_is_exact(spark):
     assert [r[0] for r in t.orderBy(packed(("trade_id", 13))).select("trade_id").collect()] == [2, 3, 10, 99]
     with pytest.raises(ValueError):
         packed(("trade_id", 20), ("trade_id", 19))
+
+
+def test_state_layout_and_history_over_chunks(spark):
+    """The fixed layout pads only where its map says so, and history is the same however a symbol is cut into chunks."""
+    import numpy as np
+
+    from tapeworks.operators import statevector as SV
+
+    rng = np.random.default_rng(5)
+    bars = []
+    for s in ("a", "b"):
+        c = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 400)))
+        bars += [(s, i, float(x), float(x * 1.01), float(x * 0.99), float(x), float(v)) for i, (x, v) in enumerate(zip(c, rng.integers(1, 900, 400)))]
+    d = spark.createDataFrame(bars, "symbol string, day int, open double, high double, low double, close double, volume double")
+    d = d.select("symbol", F.expr("timestamp_seconds(day * 86400)").alias("ts"), "open", "high", "low", "close", "volume")
+    whole, names = SV.history_block(d)
+    cut, _ = SV.history_block(d, rows=200, bucket=F.date_trunc("month", "ts"))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+    h = whole.where("symbol = 'a'").orderBy("ts").toPandas()
+    close, vol = np.array([b[5] for b in bars[:400]]), np.array([b[6] for b in bars[:400]])
+    r = np.diff(close) / (close[:-1] + 1e-8)
+    for q in SV.PERIODS:
+        for t in (0, 1, q - 1, q, q + 1, 399):
+            row = h.iloc[t]
+            assert abs(row[f"return_{q}"] - (np.clip((close[t] - close[t - q]) / (close[t - q] + 1e-8), -1, 1) if t >= q else 0)) < 1e-9
+            assert abs(row[f"volatility_{q}"] - (np.std(r[t - q:t]) if t >= q else 0)) < 1e-9
+            assert abs(row[f"range_{q}"] - (min(1, (close[t - q:t + 1].max() * 1.01 - close[t - q:t + 1].min() * 0.99) / close[t]) if t >= q else 0)) < 1e-8
+            assert abs(row[f"momentum_{q}"] - (r[t - 1] - r[t - 2] if t >= q + 1 else 0)) < 1e-9
+            assert abs(row[f"volume_change_{q}"] - (np.clip((vol[t] - vol[t - q]) / (vol[t - q] + 1e-8), -5, 5) / 5 if t >= q else 0)) < 1e-9
+    times = d.select("ts").distinct()
+    state, imap = SV.laid_out(["a", "b"], {"volume": SV.volume_block(d), "history": (whole, names)}, {"temporal": SV.temporal_block(times)}, kind="double")
+    got = {r.ts: r.state for r in state.collect()}
+    assert len(imap) == sum(SV.LAYOUT.values()) == 768 and len(got) == 400 and all(len(x) == 768 for x in got.values())
+    assert [m[0] for m in imap] == list(range(768)) and sum(m[3] is not None for m in imap) == 2 * 8 + 2 * 45 + 10
+    assert all(x[m[0]] == 0 for x in got.values() for m in imap if m[3] is None)
+    at = {m[1:]: m[0] for m in imap}
+    last = h.iloc[-1]
+    assert all(got[last["ts"].to_pydatetime()][at["history", "a", n]] == last[n] for n in names)
+    with pytest.raises(ValueError):
+        SV.positions(["a"], {"ohlcv": [str(i) for i in range(21)]}, {})
