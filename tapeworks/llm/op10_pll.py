@@ -12,7 +12,8 @@ Shares are counted where they meet: texts send the hashes of their rare words to
 and tokens and returns one sum for each text, in blobs by ranges of texts. Texts go by their 64-bit hash; what is sent is 8
 bytes for each rare word.
 
-The network is trained in numpy on all documents where they lie: every partition takes the shared parameters, runs mini-batch
+Texts are turned into tokens once, which are checkpointed (two bytes a word, four beyond 65,535 tokens) and read by every later
+pass. The network is trained in numpy on all of them where they lie: every partition takes the shared parameters, runs mini-batch
 gradient descent over its own words and sends its parameters back, cut into ranges; the average of each range over the
 partitions, weighted by words, is the next round's. A round takes every ``ROUNDS``-th word of each text, the next one the
 words after those, so each word is learned from once. What is gathered grows with the corpus (its word counts and a parameter
@@ -40,6 +41,7 @@ EDGE = TOKENS  # stands beyond the ends of a text
 RARE = 10
 ROUNDS, BATCH, RATE = 2, 4096, 1.0
 RANGES = 16
+PIECE = 1 << 18  # words, of whole texts, taken at a time
 _SENT = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("texts", pa.binary()), ("sizes", pa.binary())])
 _FOUND = pa.schema([("range", pa.int32()), ("bucket", pa.int32()), ("texts", pa.binary()), ("shares", pa.binary())])
 _SHARES = pa.schema([("fp", pa.int64()), ("share", pa.float64())])
@@ -192,15 +194,10 @@ class Network:
         p["mid"] -= step * back.sum(0)
         for i in range(len(around)):
             # the mean over a token's own places: frequent and rare tokens move alike
-            order = np.argsort(_short(around[i]), kind="stable")
-            t = around[i][order]
-            head = np.concatenate(([True], t[1:] != t[:-1]))
-            place = np.empty(n, np.int64)
-            place[order] = np.cumsum(head) - 1
-            seen = t[head]
-            summed = np.bincount((place[:, None] * SIZE + np.arange(SIZE)).ravel(), back.ravel(), SIZE * len(seen)).reshape(-1, SIZE)
-            summed *= (rate / np.maximum(np.bincount(place), n / TOKENS))[:, None]
-            p["emb"][i][seen] -= summed.astype(np.float32)
+            t = around[i]
+            moves = back * (-rate / np.maximum(np.bincount(t)[t], n / TOKENS)).astype(np.float32)[:, None]
+            # numbers are added two at a time, as complex ones
+            np.add.at(p["emb"][i].view(np.complex64).reshape(-1), (t[:, None] * (SIZE // 2) + np.arange(SIZE // 2)).ravel(), moves.view(np.complex64).ravel())
 
 
 def _short(a: np.ndarray) -> np.ndarray:
@@ -232,27 +229,49 @@ def _log_of(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return got - np.log(_summed(np.exp(z, out=z)))
 
 
-def encoded(column, known: np.ndarray):
-    """Pieces of a text column of bounded size: tokens, each text's first token, and the texts' range in the column."""
+def as_tokens(docs: DataFrame, known: np.ndarray) -> DataFrame:
+    """doc_id, fp (hash of the text) and tok (the tokens of all its words, two or four bytes each), written once for all passes."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    held, width = docs.sparkSession.sparkContext.broadcast(known), _width(side_of(len(known)))
+
+    def encode(batches):
+        for batch in batches:
+            buf, off = texts(batch["text"])
+            for i, j in slices(off):
+                words, first = word_hashes(buf[off[i]:off[j]], off[i:j + 1] - off[i])
+                ends = pa.array(first * np.dtype(width).itemsize, pa.int64()).buffers()[1]
+                tok = pa.Array.from_buffers(pa.large_binary(), j - i, [None, ends, pa.py_buffer(tokens(words, held.value).astype(width))])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i).cast(pa.int64()), batch["fp"].slice(i, j - i), tok.cast(pa.binary())], names=["doc_id", "fp", "tok"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(encode, "doc_id long, fp long, tok binary").checkpoint()
+
+
+def _width(side: int) -> type:
+    return np.uint16 if side * side < 1 << 16 else np.int32
+
+
+def encoded(column, side: int):
+    """Pieces of a column of tokens of bounded size: tokens, each text's first token, and the texts' range in the column."""
     buf, off = texts(column)
-    for i, j in slices(off):
-        words, first = word_hashes(buf[off[i]:off[j]], off[i:j + 1] - off[i])
-        yield tokens(words, known), first, i, j
+    width = _width(side)
+    tok, off = buf.view(width).astype(np.int32, copy=False), off // np.dtype(width).itemsize
+    for i, j in slices(off, PIECE):
+        yield tok[off[i]:off[j]], off[i:j + 1] - off[i], i, j
 
 
-def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS, share: np.ndarray | None = None) -> Network:
-    """Rounds of local descent in every partition and averages of all partitions' parameters."""
+def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS, share: np.ndarray | None = None, coded: DataFrame | None = None) -> Network:
+    """Rounds of local descent in every partition and averages of all partitions' parameters; coded: the texts as tokens, if at hand."""
     net = Network.start(side_of(len(known)), share)
     spark = docs.sparkSession
+    coded = as_tokens(docs, known) if coded is None else coded
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((net.flat(), known))
+        shared = spark.sparkContext.broadcast(net.flat())
 
         def descend(batches, shared=shared, turn=turn):
-            flat, known = shared.value
-            net, seen = Network.of(flat), 0
+            net, seen = Network.of(shared.value), 0
             rng = np.random.default_rng(turn)
             for batch in batches:
-                for tok, first, _, _ in encoded(batch["text"], known):
+                for tok, first, _, _ in encoded(batch["tok"], net.side):
                     around = windows(tok, first, net.side ** 2)
                     order = rng.permutation(np.arange(turn, len(tok), rounds))
                     for a in range(0, len(order), BATCH):
@@ -270,7 +289,7 @@ def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS, share: np.nd
                     weight += w
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["part", "values"])
 
-        sent = docs.select("text").mapInArrow(descend, "part int, weight long, values binary")
+        sent = coded.select("tok").mapInArrow(descend, "part int, weight long, values binary")
         got = {r["part"]: np.frombuffer(r["values"], np.float32) for r in sent.groupBy("part").applyInArrow(_each(mean), "part int, values binary").collect()}
         if got:
             net = Network.of(np.concatenate([got[i] for i in sorted(got)]))
@@ -344,22 +363,22 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     known, times, total = vocabulary(docs)
     hashed = side_of(len(known)) ** 2 - len(known)
     share = np.concatenate((times, np.full(hashed, max(total - times.sum(), 1) / hashed))) / max(total, 1)
-    shared = docs.sparkSession.sparkContext.broadcast((train(docs, known, rounds, share).flat(), known))
+    coded = as_tokens(docs, known)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, known, rounds, share, coded).flat())
 
     def score(batches):
-        flat, known = shared.value
-        net = Network.of(flat)
+        net = Network.of(shared.value)
         for batch in batches:
             n, summed = np.zeros(len(batch), np.int64), np.zeros(len(batch))
-            for tok, first, i, j in encoded(batch["text"], known):
+            for tok, first, i, j in encoded(batch["tok"], net.side):
                 around = windows(tok, first, net.side ** 2)
                 total, many = np.zeros(len(tok) + 1), BATCH
                 for a in range(0, len(tok), many):
                     total[a + 1:a + 1 + many] = net.log_probability(around[:, a:a + many], tok[a:a + many])
                 total = np.cumsum(total)
                 n[i:j], summed[i:j] = np.diff(first), total[first[1:]] - total[first[:-1]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["fp"], pa.array(n, pa.int64()), pa.array(summed)], names=["doc_id", "fp", "n_words", "likely"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["fp"], pa.array(n, pa.int64()), pa.array(summed)], names=["doc_id", "fp", "n_words", "likely"])
 
-    scored = docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(score, "doc_id long, fp long, n_words long, likely double")
+    scored = coded.mapInArrow(score, "doc_id long, fp long, n_words long, likely double")
     both = scored.join(rare_shares(docs, known), "fp", "left").withColumn("log_likelihood", F.col("likely") + F.coalesce("share", F.lit(0.0)))
     return both.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"))
