@@ -24,6 +24,18 @@ def ratio(num, den) -> Column:
     return num / F.when(den != 0, den)
 
 
+def float_div(num, den) -> Column:
+    """Division of doubles as floating point has it: infinite over zero, NaN for 0 / 0."""
+    num, den = _c(num), _c(den)
+    return F.when(den == 0, num * float("inf")).otherwise(ratio(num, den))
+
+
+def float_ln(x) -> Column:
+    """Logarithm with -infinity at zero; null below."""
+    x = _c(x)
+    return F.when(x == 0, float("-inf")).otherwise(F.ln(x))
+
+
 def safe_log(x, default=0.0) -> Column:
     x = _c(x)
     return F.when(x > 0, F.ln(F.when(x > 0, x))).otherwise(F.lit(default))

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.functions.mathx import ratio, safe_div
+from tapeworks.functions.mathx import float_div, ratio, safe_div
 from tapeworks.plans.asof import asof_join
 from tapeworks.plans.panel import Panel, join_on
 
@@ -52,7 +52,7 @@ def realized_spread(trades: DataFrame, mids: DataFrame, seconds: int, bucket: Co
     t = trades.withColumn("_t0", F.col("ts")).withColumn("ts", F.col("ts") + F.expr(f"interval {seconds} seconds"))
     j = asof_join(t, mids.select(*keys, "ts", "mid"), keys, "ts", ["mid"], bucket=bucket, direction="forward", prefix="after_")
     sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
-    return j.withColumn("ts", F.col("_t0")).drop("_t0", "after_match_ts").withColumn("realized_spread", 200 * sign * (F.col("after_mid") - F.col("price")) / F.col("price"))
+    return j.withColumn("ts", F.col("_t0")).drop("_t0", "after_match_ts").withColumn("realized_spread", float_div(200 * sign * (F.col("after_mid") - F.col("price")), "price"))
 
 
 def depth_columns(n: int = 10) -> list[Column]:

@@ -27,15 +27,19 @@ MARKET = """market AS (SELECT n_name AS symbol, l_shipdate AS ts, sum(l_extended
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name, l_shipdate)"""
 
 
-def rd(c, d: int = 4) -> Column:
-    """Round half up with the boundary moved off exact decimal ties, so both engines agree."""
+def rd(c, d: int = 4, infinite: bool = False) -> Column:
+    """Round half up with the boundary moved off exact decimal ties, so both engines agree.
+
+    ``infinite`` is for columns that may hold infinities or NaN; these stay as they are.
+    """
     c = F.col(c) if isinstance(c, str) else c
     k = float(10 ** d)
-    return F.floor(c.cast("double") * k + 0.5003).cast("double") / k
+    out = F.floor(c.cast("double") * k + 0.5003).cast("double") / k
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), c).otherwise(out) if infinite else out
 
 
-def rcols(df, keep, cols, d: int = 4):
-    return df.select(*keep, *[rd(c, d).alias(c) for c in cols])
+def rcols(df, keep, cols, d: int = 4, infinite: bool = False):
+    return df.select(*keep, *[rd(c, d, infinite).alias(c) for c in cols])
 
 
 def R(expr: str, name: str | None = None, d: int = 4) -> str:

@@ -31,7 +31,7 @@ def _(s, d):
 def _(s, d):
     t = A.ticks(s, d).withColumn("symbol", F.col("symbol") % 5)
     m = A.book_snapshots(s, d).select("symbol", "ts", OB.mid().alias("mid"))
-    return OB.realized_spread(t, m, 3600, day_bucket()).select("trade_id", rd("realized_spread", 3).alias("realized_spread"))
+    return OB.realized_spread(t, m, 3600, day_bucket()).select("trade_id", rd("realized_spread", 3, infinite=True).alias("realized_spread"))
 
 
 @query("book_depth_imbalance", f"""WITH {BOOK}, a AS (SELECT symbol, ts, sum(CASE WHEN side='bid' AND lvl<=10 THEN qty ELSE 0 END) AS bd, sum(CASE WHEN side='ask' AND lvl<=10 THEN qty ELSE 0 END) AS ad, sum(CASE WHEN side='bid' AND lvl<=5 THEN qty ELSE 0 END) AS b5, sum(CASE WHEN side='ask' AND lvl<=5 THEN qty ELSE 0 END) AS a5,
