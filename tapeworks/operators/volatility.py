@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.mathx import clip, norm_cdf, norm_sf, ratio, safe_div, two_sided_p
+from tapeworks.functions.mathx import clip, float_div, float_ln, norm_cdf, norm_sf, ratio, safe_div, two_sided_p
 from tapeworks.operators.bars import resample_last
 from tapeworks.operators.models import assembled
 from tapeworks.plans.panel import Panel, islands, join_on
@@ -20,9 +20,9 @@ REGIME_THRESHOLDS = (0.015, 0.03, 0.05)
 
 
 def with_log_returns(df: DataFrame, c: str = "close", p: Panel = PANEL, drop_gaps: bool = False) -> DataFrame:
-    """r, first row null. ``drop_gaps`` nulls returns whose time gap exceeds twice the key's median gap."""
+    """r, first row null; infinite to and from a price of zero. ``drop_gaps`` nulls returns whose time gap exceeds twice the key's median gap."""
     ts = p.order[0]
-    d = df.withColumn("r", F.ln(F.col(c) / F.lag(c).over(p.w)))
+    d = df.withColumn("r", float_ln(float_div(F.col(c), F.lag(c).over(p.w))))
     if drop_gaps:
         d = d.withColumn("_g", F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(p.w)))
         med = d.groupBy(*p.keys).agg(F.percentile("_g", 0.5).alias("_med"))

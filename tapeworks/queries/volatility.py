@@ -37,14 +37,14 @@ HR = HBARS + """, hr AS (SELECT *, ln(close/lag(close) OVER s) AS r FROM bars WI
 
 @query("vol_intraday_seasonality", f"WITH {HR} SELECT symbol, CAST(hour(ts) AS INTEGER) AS hour, {R('sqrt(sum(r*r))', 'vol')}, count(r) AS n FROM hr GROUP BY ALL")
 def _(s, d):
-    return rcols(V.intraday_seasonality(A.hourly_bars(s, d)), ["symbol", "hour", "n"], ["vol"])
+    return rcols(V.intraday_seasonality(A.hourly_bars(s, d)), ["symbol", "hour", "n"], ["vol"], infinite=True)
 
 
 @query("vol_signature", " UNION ALL ".join(f"""(WITH {TICKS}, b AS (SELECT symbol, time_bucket(INTERVAL {h} HOUR, ts, TIMESTAMP '1970-01-01') AS ts, arg_max(price, row(ts, trade_id)) AS close FROM ticks GROUP BY ALL),
  r AS (SELECT symbol, ln(close/lag(close) OVER s) AS r FROM b {S}) SELECT symbol, {R('sum(r*r)', 'rv')}, count(r) AS n, '{h} hours' AS freq FROM r GROUP BY symbol)""" for h in (2, 6, 12)))
 def _(s, d):
     t = A.ticks(s, d).withColumn("close", F.col("price"))
-    return rcols(V.signature(t, ["2 hours", "6 hours", "12 hours"], tie=("trade_id",)), ["symbol", "n", "freq"], ["rv"])
+    return rcols(V.signature(t, ["2 hours", "6 hours", "12 hours"], tie=("trade_id",)), ["symbol", "n", "freq"], ["rv"], infinite=True)
 
 
 def _parzen(h, H=10):
