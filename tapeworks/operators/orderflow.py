@@ -7,10 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from tapeworks.functions.mathx import clip, ratio, safe_div
+from tapeworks.plans import frames
 from tapeworks.plans.asof import asof_join
 from tapeworks.plans.orderstats import attach_stats
 from tapeworks.plans.panel import Panel, hour_bucket, islands, join_on, on_chunks, running
@@ -224,23 +229,42 @@ def layering(df: DataFrame, minimum: float = 0.6, window: float = 60.0, span: fl
 
 def quote_stuffing(df: DataFrame, keys: Sequence[str] = (), threshold: int = 10, window: float = 1.0) -> DataFrame:
     """More than ``threshold`` events in the trailing second with cancels > .7 of places."""
-    d, ks = _sliced(df, window, keys)
-    w = _range(ks, "_us", window)
-    d = d.withColumn("events", F.count(F.lit(1)).over(w)).withColumn("places", F.sum((F.col("event_type") == "place").cast("int")).over(w)).withColumn("cancels", F.sum((F.col("event_type") == "cancel").cast("int")).over(w))
-    d = d.where((F.col("_home") == F.col("_slice")) & (F.col("events") > threshold) & (F.col("cancels") > 0.7 * F.col("places")))
+    marks = df.select("event_id", *keys, "ts", (F.col("event_type") == "place").alias("_place"), (F.col("event_type") == "cancel").alias("_cancel"))
+
+    def calc(t, lo, hi):
+        known = frames.counts(pc.is_valid(t["_place"].combine_chunks()).to_numpy(zero_copy_only=False), lo, hi)
+        of = lambda c: pa.array(frames.counts(t[c].combine_chunks().fill_null(False).to_numpy(zero_copy_only=False), lo, hi), mask=known == 0)
+        return {"events": pa.array(hi - lo), "places": of("_place"), "cancels": of("_cancel")}
+
+    d = frames.trailing(marks, keys, int(window * 1e6) - 1, calc, {"events": LongType(), "places": LongType(), "cancels": LongType()})
+    d = d.where((F.col("events") > threshold) & (F.col("cancels") > 0.7 * F.col("places")))
     return d.select("event_id", *keys, "ts", "events", "places", "cancels", F.least(F.col("events") / 50, F.lit(1.0)).alias("confidence"))
 
 
 def momentum_ignition(df: DataFrame, minimum: float = 0.6, window: float = 30.0, multiple: float = 5.0, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Large placements in the direction of the last 30 s of fills."""
-    d, ks = _sliced(df, window, keys)
-    w = _range(ks, "_us", window)
     fill = F.col("event_type") == "fill"
-    o = F.when(fill, F.struct("_us", "event_id"))
-    px = F.when(fill, F.col("price"))
-    d = d.select("event_id", *keys, "ts", "side", "size", "event_type", "_home", "_slice", F.count(px).over(w).alias("fills"), (F.max_by("price", o).over(w) - F.min_by("price", o).over(w)).alias("trend"), (F.max(px).over(w) - F.min(px).over(w)).alias("move"))
-    d = attach_stats(d.where(F.col("_home") == F.col("_slice")).drop("_home", "_slice"), df.agg(F.avg("size").alias("_m")), [], ["_m"])
-    d = d.where((F.col("event_type") == "place") & (F.col("size") >= multiple * F.col("_m")) & (F.col("fills") >= 3))
+    d = attach_stats(df.select("event_id", *keys, "ts", "side", "size", "price", "event_type"), df.agg(F.avg("size").alias("_m")), [], ["_m"])
+    large = (F.col("event_type") == "place") & (F.col("size") >= multiple * F.col("_m"))
+    d = d.withColumn("_fill", F.coalesce(fill, F.lit(False)))
+
+    def calc(t, lo, hi):
+        price, known = frames.numbers(t, "price")
+        mark = t["_fill"].combine_chunks().to_numpy(zero_copy_only=False)
+        rows = np.arange(len(mark))
+        before = np.maximum.accumulate(np.where(mark, rows, -1))[hi - 1]
+        after = np.minimum.accumulate(np.where(mark, rows, len(mark))[::-1])[::-1][lo]
+        none = before < lo
+        before, after = np.where(none, 0, before), np.where(none, 0, after)
+        fills = frames.counts(mark & known, lo, hi)
+        top = frames.fold(np.where(mark & known, price, -np.inf), lo, hi, np.maximum, -np.inf)
+        low = frames.fold(np.where(mark & known, price, np.inf), lo, hi, np.fmin, np.inf)
+        with np.errstate(invalid="ignore"):
+            return {"fills": pa.array(fills), "trend": pa.array(price[before] - price[after], mask=none | ~known[before] | ~known[after]),
+                    "move": pa.array(top - low, mask=fills == 0)}
+
+    d = frames.trailing(d, keys, int(window * 1e6) - 1, calc, {"fills": LongType(), "trend": DoubleType(), "move": DoubleType()}, tie=("event_id",), asks=large, seen=fill)
+    d = d.where(F.col("fills") >= 3).drop("_fill", "price")
     conf = F.least(F.col("size") / (F.col("_m") * 10) * 0.5 + safe_div(F.abs("trend"), "move") * 0.5, F.lit(0.9))
     same = F.when(F.col("side") == "buy", 1).otherwise(-1) == F.when(F.col("trend") > 0, 1).otherwise(-1)
     return d.where(same & (F.col("trend") != 0)).withColumn("confidence", conf).where(F.col("confidence") >= minimum).drop("_m", "event_type")
