@@ -6,10 +6,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType
 
 from tapeworks.functions.mathx import float_div, ratio, safe_div
+from tapeworks.plans import frames
 from tapeworks.plans.asof import asof_join
 from tapeworks.plans.panel import Panel, join_on
 
@@ -148,14 +152,18 @@ def absorption_rate(df: DataFrame, p: Panel = PANEL) -> DataFrame:
 
 def trade_features(df: DataFrame, seconds: int = 300, p: Panel = Panel(order=("ts", "trade_id"))) -> DataFrame:
     """buy share, large-trade count (> 10 x mean), volume, count, mean size, vwap over the trailing seconds per trade."""
-    from pyspark.sql import Window
-    d = df.withColumn("_us", F.unix_micros("ts"))
-    w = Window.partitionBy(*p.keys).orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
-    v = F.sum("volume").over(w)
-    d = d.select(*df.columns, F.sum(F.when(F.col("side") == "buy", F.col("volume")).otherwise(0.0)).over(w).alias("_bv"), v.alias("win_volume"), F.count(F.lit(1)).over(w).alias("win_count"),
-                 F.sum(F.col("price") * F.col("volume")).over(w).alias("_pv"), F.collect_list("volume").over(w).alias("_l"))
+    d = df.withColumn("_b", F.when(F.col("side") == "buy", F.col("volume")).otherwise(0.0)).withColumn("_x", F.col("price") * F.col("volume"))
+
+    def calc(t, lo, hi):
+        v, known = frames.numbers(t, "volume")
+        total, n = frames.sums(t, "volume", lo, hi), hi - lo
+        large = frames.count_above(v, known, 10 * (total.fill_null(np.nan).to_numpy(zero_copy_only=False) / n), lo, hi)
+        large = np.where(frames.counts(known, lo, hi) == 0, 0, large)
+        return {"_bv": frames.sums(t, "_b", lo, hi), "win_volume": total, "win_count": pa.array(n), "_pv": frames.sums(t, "_x", lo, hi), "large_trades": pa.array(large.astype(np.int32))}
+
+    d = frames.trailing(d, p.keys, seconds * 1_000_000, calc, {"_bv": DoubleType(), "win_volume": DoubleType(), "win_count": LongType(), "_pv": DoubleType(), "large_trades": IntegerType()}, ts=p.order[0], timeless=True)
     m = F.col("win_volume") / F.col("win_count")
-    return d.select(*df.columns, safe_div("_bv", "win_volume").alias("buy_share"), F.size(F.filter("_l", lambda x: x > 10 * m)).alias("large_trades"), "win_volume", "win_count", m.alias("mean_size"), safe_div("_pv", "win_volume").alias("win_vwap"))
+    return d.select(*df.columns, safe_div("_bv", "win_volume").alias("buy_share"), "large_trades", "win_volume", "win_count", m.alias("mean_size"), safe_div("_pv", "win_volume").alias("win_vwap"))
 
 
 def liquidity_score() -> Column:
