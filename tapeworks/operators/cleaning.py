@@ -91,7 +91,7 @@ def fill_missing(df: DataFrame, cols: Sequence[str], method: str = "ffill", pane
     if method in ("ffill", "bfill"):
         if bucket is None:
             for c in cols:
-                e = F.last(c, True).over(panel.cum) if method == "ffill" else F.first(c, True).over(panel.rest)
+                e = F.last(c, True).over(panel.cum if method == "ffill" else panel.back)
                 out = out.withColumn(c, e)
         else:
             out = running(out, panel, {f"_f_{c}": ("last", F.col(c)) for c in cols}, bucket, reverse=method == "bfill")
@@ -100,7 +100,8 @@ def fill_missing(df: DataFrame, cols: Sequence[str], method: str = "ffill", pane
         us = F.unix_micros(F.col(ts))
         for c in cols:
             have = F.when(F.col(c).isNotNull(), F.struct(us.alias("t"), F.col(c).alias("v")))
-            p, n = F.last(have, True).over(panel.cum), F.first(have, True).over(panel.rest)
+            # a frame to the end of the key is read anew for each row; going back, the next known value is the last one met
+            p, n = F.last(have, True).over(panel.cum), F.last(have, True).over(panel.back)
             w = (us - p["t"]) / F.nullif(n["t"] - p["t"], F.lit(0))
             out = out.withColumn(c, F.coalesce(F.col(c), p["v"] + (n["v"] - p["v"]) * w, p["v"]))
     return out.fillna(0.0, list(cols)) if then_zero or method == "zero" else out
@@ -108,7 +109,9 @@ def fill_missing(df: DataFrame, cols: Sequence[str], method: str = "ffill", pane
 
 def calendar_spine(df: DataFrame, step: str, keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
     """Complete per-key grid left-joined to the data. The grid is sized by time, not by rows."""
-    spine = (df.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
+    # the ranges are few bytes that become many rows: a number of partitions keeps Spark from putting them into one task
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spine = (df.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b")).repartition(tasks, *keys)
                .select(*keys, F.explode(F.sequence("_a", "_b", F.expr(f"interval {step}"))).alias(ts)))
     return join_on(spine, df, [*keys, ts], "left").select(*df.columns)
 
@@ -143,7 +146,7 @@ def aligned_windows(df: DataFrame, at: Column, size: int, value: str = "close",
     miss = F.avg(F.col(value).isNull().cast("double")).over(Window.partitionBy(*keys))
     p = Panel(tuple(keys), (ts,))
     j = j.withColumn("missing_ratio", miss).where(F.col("missing_ratio") <= max_missing)
-    filled = F.coalesce(F.last(value, True).over(p.cum), F.first(value, True).over(p.rest))
+    filled = F.coalesce(F.last(value, True).over(p.cum), F.last(value, True).over(p.back))
     return j.withColumn(value, filled)
 
 

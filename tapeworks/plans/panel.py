@@ -51,6 +51,11 @@ class Panel:
     def rest(self) -> WindowSpec:
         return self.w.rowsBetween(0, Window.unboundedFollowing)
 
+    @property
+    def back(self) -> WindowSpec:
+        """The rows of ``rest``, met from the end of the key."""
+        return Window.partitionBy(*self.keys).orderBy(*[F.desc(c) for c in self.order]).rowsBetween(Window.unboundedPreceding, 0)
+
     @property
     def whole(self) -> WindowSpec:
         return Window.partitionBy(*self.keys)
