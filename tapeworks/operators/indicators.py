@@ -13,7 +13,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.mathx import ratio, safe_div
@@ -304,7 +304,7 @@ def swing_flags(df: DataFrame, n: int = 5, p: Panel = PANEL, tolerance: float =
     pk = (h > F.max("high").over(p.frame(-n, -1))) & (h > F.max("high").over(p.frame(1, n)))
     tr = (l < F.min("low").over(p.frame(-n, -1))) & (l < F.min("low").over(p.frame(1, n)))
     d = d.withColumn("_pk", F.when(pk, h)).withColumn("_tr", F.when(tr, l))
-    before = p.w.rowsBetween(-(10 ** 9), -1)
+    before = p.w.rowsBetween(Window.unboundedPreceding, -1)
     near = lambda a, b: F.coalesce((F.abs(a - b) / F.greatest(a, b) < tolerance).cast("int"), F.lit(0))
     return (d.withColumn("double_top", near(F.col("_pk"), F.last("_pk", True).over(before)))
              .withColumn("double_bottom", near(F.col("_tr"), F.last("_tr", True).over(before))).drop("_pk", "_tr"))
