@@ -157,22 +157,33 @@ def trigrams(text: Column) -> Column:
 
 
 class PostIndex:
-    """Posts (id, ts, text) and the trigrams that each holds, as Parquet folders partitioned by hour.
+    """Posts (id, ts, text) and the trigrams that each holds, as Parquet folders partitioned by hours.
 
-    A search reads only the hours asked for, intersects the postings of the needle's trigrams, and verifies the needle on the whole
+    A build makes about ``FOLDERS`` folders at most, each of a whole number of hours, one hour each where the posts span no more.
+
+    A search reads only folders with hours asked for, intersects the postings of the needle's trigrams, and verifies the needle on the whole
     texts of what is left; a needle under three characters is looked for in all texts of those hours. Postings are rows, so a
     trigram that most posts hold is spread over files and no list is ever gathered.
     """
 
+    FOLDERS = 256
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     @classmethod
     def build(cls, posts: DataFrame, folder: str) -> "PostIndex":
         d = posts.select("id", "ts", "text", F.date_format(F.date_trunc("hour", "ts"), "yyyyMMddHH").cast("long").alias("hour"))
-        d = d.repartition("hour")
-        d.write.mode("append").partitionBy("hour").parquet(f"{folder}/posts")
-        d.select("hour", "id", F.explode(trigrams(F.col("text"))).alias("gram")).sortWithinPartitions("hour", "gram").write.mode("append").partitionBy("hour").parquet(f"{folder}/grams")
+        # a folder for each hour of a long time would be as many small files, listed by every search
+        nth = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+        first, last = posts.agg(F.min(nth), F.max(nth)).first()
+        width = 1 if first is None else -(-(last - first + 1) // cls.FOLDERS)
+        of = lambda h: F.date_format(F.timestamp_seconds(h * 3600), "yyyyMMddHH").cast("long")
+        start = F.floor(nth / width) * width
+        d = d.withColumn("hour_from", of(start)).withColumn("hour_to", of(start + width - 1)).repartitionByRange("hour_from", "hour", "id")
+        by = ["hour_from", "hour_to"]
+        d.sortWithinPartitions(*by, "hour").write.mode("append").partitionBy(*by).parquet(f"{folder}/posts")
+        d.select(*by, "hour", "id", F.explode(trigrams(F.col("text"))).alias("gram")).sortWithinPartitions(*by, "hour", "gram").write.mode("append").partitionBy(*by).parquet(f"{folder}/grams")
         return cls(posts.sparkSession, folder)
 
     def search(self, needle: str, now: str, hours_back: int) -> DataFrame:
@@ -181,7 +192,7 @@ class PostIndex:
         begin = end - F.make_interval(hours=F.lit(hours_back))
         hour = lambda t: F.date_format(F.date_trunc("hour", t), "yyyyMMddHH").cast("long")
         low, high = self.spark.range(1).select(hour(begin), hour(end)).first()
-        within = F.col("hour").between(int(low), int(high))
+        within = (F.col("hour_from") <= int(high)) & (F.col("hour_to") >= int(low)) & F.col("hour").between(int(low), int(high))
         posts = self.spark.read.parquet(f"{self.folder}/posts").where(within & (F.col("ts") > begin) & (F.col("ts") <= end))
         grams = sorted({needle.lower()[i:i + 3] for i in range(len(needle) - 2)})
         if grams:
