@@ -73,47 +73,61 @@ class AlertLifecycle(StatefulProcessor):
     def _event(self, key, metric, ts, event, level, value) -> Row:
         return Row(source=key[0], metric=metric, ts_us=ts, event=event, severity=LEVELS[level], value=float(value))
 
+    def _load(self) -> None:
+        """The source's open alerts, read once a call; each access of the state store is a round trip."""
+        self.now = {m: tuple(v) for (m,), v in self.open.iterator()}
+        self.was = dict(self.now)
+
+    def _store(self) -> None:
+        """Alerts that changed go back, and the timer moves if the earliest end of a quiet time did."""
+        for m in self.was.keys() - self.now.keys():
+            self.open.removeKey((m,))
+        for m, a in self.now.items():
+            if self.was.get(m) != a:
+                self.open.updateValue((m,), a)
+        before, last = (min((a[3] for a in x.values()), default=None) for x in (self.was, self.now))
+        if before != last:
+            for t in list(self.handle.listTimers()) if before is not None else []:
+                self.handle.deleteTimer(t)
+            if last is not None:
+                self.handle.registerTimer((last + self.quiet) // 1000 + 1)
+
     def _expire(self, key, metric, now: int) -> Iterator[Row]:
-        a = self.open.getValue((metric,))
+        a = self.now.get(metric)
         if a is not None and a[3] + self.quiet < now:
-            self.open.removeKey((metric,))
+            del self.now[metric]
             yield self._event(key, metric, a[3] + self.quiet, "expired", a[0], a[4])
 
-    def _timers(self) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        last = min((v[3] for _, v in self.open.iterator()), default=None)
-        if last is not None:
-            self.handle.registerTimer((last + self.quiet) // 1000 + 1)
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        self._load()
         for r in sorted(rows, key=lambda r: (r.ts_us, r.tie)):
             yield from self._expire(key, r.metric, r.ts_us)
-            a = self.open.getValue((r.metric,)) if self.open.containsKey((r.metric,)) else None
+            a = self.now.get(r.metric)
             if r.command is None:
                 level = (r.value > r.limit) + (r.value > r.critical) if r.value is not None else 0
                 if not level:
                     continue
                 if a is None:
-                    self.open.updateValue((r.metric,), (level, False, r.ts_us, r.ts_us, r.value))
+                    self.now[r.metric] = (level, False, r.ts_us, r.ts_us, r.value)
                     yield self._event(key, r.metric, r.ts_us, "opened", level, r.value)
                 else:
-                    self.open.updateValue((r.metric,), (max(level, a[0]), a[1] and level <= a[0], a[2], r.ts_us, r.value))
+                    self.now[r.metric] = (max(level, a[0]), a[1] and level <= a[0], a[2], r.ts_us, r.value)
                     if level > a[0]:
                         yield self._event(key, r.metric, r.ts_us, "escalated", level, r.value)
             elif a is not None and r.command == "ack" and not a[1]:
-                self.open.updateValue((r.metric,), (a[0], True, a[2], a[3], a[4]))
+                self.now[r.metric] = (a[0], True, a[2], a[3], a[4])
                 yield self._event(key, r.metric, r.ts_us, "acknowledged", a[0], a[4])
             elif a is not None and r.command == "resolve":
-                self.open.removeKey((r.metric,))
+                del self.now[r.metric]
                 yield self._event(key, r.metric, r.ts_us, "resolved", a[0], a[4])
-        self._timers()
+        self._store()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        for (metric,) in [tuple(k) for k in self.open.keys()]:
-            yield from self._expire(key, metric, now)
-        self._timers()
+        self._load()
+        fired = timerValues.getCurrentWatermarkInMs() * 1000
+        for metric in list(self.now):
+            yield from self._expire(key, metric, fired)
+        self._store()
 
     def close(self) -> None:
         pass
