@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.operators import generators as G
 from tapeworks.operators import metricfn as M
+from tapeworks.plans.panel import size_estimate
 from tapeworks.queries import query
 from tapeworks.queries.common import BARS, R, rd
 from tapeworks.session import ensure_checkpoint_dir
@@ -110,6 +111,6 @@ def _(s, d):
     ensure_checkpoint_dir(s)
     folder = f"{s.sparkContext.getCheckpointDir().removeprefix('file:')}/candles-{uuid4().hex}"
     bars = A.daily_bars(s, d).select(F.col("symbol").cast("string").alias("symbol"), "ts", "open", "high", "low", "close", "volume")
-    bars.repartitionByRange(16, "symbol").write.format("candles").mode("append").save(folder)
+    bars.repartitionByRange(max(16, size_estimate(bars) // 250_000), "symbol").write.format("candles").mode("append").save(folder)
     out = s.read.format("candles").load(folder).where("symbol IN ('3', '17') AND ts >= timestamp'1995-01-01'")
     return out.select("symbol", "ts", *[rd(c).alias(c) for c in ("open", "high", "low", "close", "volume")])

@@ -10,7 +10,6 @@ those of a file system that all executors see.
 """
 from __future__ import annotations
 
-import csv
 import datetime as dt
 import json
 import os
@@ -18,11 +17,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from uuid import uuid4
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import csv
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 MANIFEST = "_manifest.json"
+NUMBERS = ("open", "high", "low", "close", "volume")
 CANDLE = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
 _EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -88,16 +91,27 @@ class FolderWriter(DataSourceWriter):
                 os.remove(os.path.join(self.path, x["file"]))
 
 
-class CandleWriter(FolderWriter):
+#: what a line of a file holds: symbol, microseconds, numbers
+LINE = pa.schema([("symbol", pa.string()), ("ts", pa.int64()), *[(c, pa.float64()) for c in NUMBERS]])
+ROW = LINE.set(1, pa.field("ts", pa.timestamp("us", "UTC")))
+
+
+class CandleWriter(FolderWriter, DataSourceArrowWriter):
+    """Whole Arrow batches become lines; a null is an empty field."""
+
     def _write(self, f, rows) -> dict:
-        out, n, symbols, times = csv.writer(f), 0, [], []
-        for r in rows:
-            out.writerow([r["symbol"], _us(r["ts"]), *["" if r[c] is None else repr(float(r[c])) for c in ("open", "high", "low", "close", "volume")]])
-            n += 1
-            if r["symbol"] is not None:
-                symbols = [min([r["symbol"], *symbols[:1]]), max([r["symbol"], *symbols[1:]])]
-            if r["ts"] is not None:
-                times = [min([_us(r["ts"]), *times[:1]]), max([_us(r["ts"]), *times[1:]])]
+        n, symbols, times = 0, [], []
+        with csv.CSVWriter(f.buffer, LINE, write_options=csv.WriteOptions(include_header=False, quoting_style="needed")) as out:
+            for batch in rows:
+                cols = {c: batch.column(i) for i, c in enumerate(self.columns)}
+                cols["ts"] = cols["ts"].cast(pa.timestamp("us", getattr(cols["ts"].type, "tz", None)))
+                lines = pa.record_batch([cols[x.name].cast(x.type) for x in LINE], schema=LINE)
+                out.write_batch(lines)
+                n += len(lines)
+                for seen, c in ((symbols, "symbol"), (times, "ts")):
+                    low, high = pc.min_max(lines[c]).as_py().values()
+                    if low is not None:
+                        seen[:] = [min([low, *seen[:1]]), max([high, *seen[1:]])]
         return {"rows": n, "symbol": symbols, "ts": times}
 
 
@@ -147,12 +161,14 @@ class CandleReader(DataSourceReader):
     def partitions(self) -> list[FilePart]:
         return [FilePart(x["file"]) for x in _manifest(self.path) if self._may(x)] or [FilePart("")]
 
-    def read(self, partition: FilePart) -> Iterator[tuple]:
+    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
         if not partition.file:
             return
-        with open(os.path.join(self.path, partition.file), encoding="utf-8", newline="") as f:
-            for symbol, ts, *numbers in csv.reader(f):
-                yield (symbol or None, _EPOCH + dt.timedelta(microseconds=int(ts)) if ts else None, *[float(x) if x else None for x in numbers])
+        convert = csv.ConvertOptions(column_types=LINE, null_values=[""], strings_can_be_null=True)
+        with csv.open_csv(os.path.join(self.path, partition.file), csv.ReadOptions(use_threads=False, column_names=LINE.names),
+                          csv.ParseOptions(newlines_in_values=True), convert) as lines:
+            for batch in lines:
+                yield pa.record_batch([batch[x.name].cast(x.type) for x in ROW], schema=ROW)
 
 
 class Candles(DataSource):
