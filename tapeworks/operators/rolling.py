@@ -22,6 +22,14 @@ def rolling(c: str, op: str, n: int, p: Panel = PANEL, full_only: bool = True) -
     return F.when(F.count(c).over(w) == n, e) if full_only else e
 
 
+def _quantile(c: str, n: int, share: float) -> Column:
+    """The interpolated quantile of ``n`` sorted values, as ``percentile`` has it, without its table of counts for each frame."""
+    at = (n - 1) * share
+    lo, hi = math.floor(at), math.ceil(at)
+    a, b = F.col(c)[lo], F.col(c)[hi]
+    return a if lo == hi else F.when(a == b, a).otherwise((hi - at) * a + (at - lo) * b)
+
+
 def moments_block(df: DataFrame, c: str, windows: Sequence[int] = (5, 10, 20, 50), p: Panel = PANEL) -> DataFrame:
     """mean, std, min, max, median, q25, q75, skew, kurt (bias-corrected), zscore, position per window."""
     d = df
@@ -31,14 +39,20 @@ def moments_block(df: DataFrame, c: str, windows: Sequence[int] = (5, 10, 20, 50
         f = lambda e: F.when(ok, e)
         d = d.select("*", f(F.avg(c).over(w)).alias(pre + "mean"), f(F.stddev_samp(c).over(w)).alias(pre + "std"),
                      f(F.min(c).over(w)).alias(pre + "min"), f(F.max(c).over(w)).alias(pre + "max"),
-                     f(F.percentile(c, F.array(F.lit(.25), F.lit(.5), F.lit(.75))).over(w)).alias("_q"),
-                     f(F.skewness(c).over(w)).alias("_g1"), f(F.kurtosis(c).over(w)).alias("_g2"))
-        d = (d.withColumn(pre + "q25", F.col("_q")[0]).withColumn(pre + "median", F.col("_q")[1]).withColumn(pre + "q75", F.col("_q")[2])
+                     f(F.sort_array(F.collect_list(F.col(c).cast("double")).over(w))).alias("_q"))
+        # central moments of the frame's values about its mean; of equal values skewness and kurtosis are null
+        gap = [F.col("_q")[i] - F.col(pre + "mean") for i in range(n)]
+        d = d.select("*", sum((x * x for x in gap[1:]), gap[0] * gap[0]).alias("_m2"), sum((x * x * x for x in gap[1:]), gap[0] * gap[0] * gap[0]).alias("_m3"),
+                     sum((x * x * x * x for x in gap[1:]), gap[0] * gap[0] * gap[0] * gap[0]).alias("_m4"))
+        d = d.withColumn("_m2", F.when((F.col("_q")[n - 1] - F.col("_q")[0]) != 0, F.col("_m2")))
+        d = d.select("*", (math.sqrt(n) * F.col("_m3") / F.sqrt(F.col("_m2") * F.col("_m2") * F.col("_m2"))).alias("_g1"),
+                     (n * F.col("_m4") / (F.col("_m2") * F.col("_m2")) - 3).alias("_g2"))
+        d = (d.withColumn(pre + "q25", _quantile("_q", n, .25)).withColumn(pre + "median", _quantile("_q", n, .5)).withColumn(pre + "q75", _quantile("_q", n, .75))
               .withColumn(pre + "skew", F.col("_g1") * (math.sqrt(n * (n - 1)) / (n - 2)))
               .withColumn(pre + "kurt", ((n + 1) * F.col("_g2") + 6) * ((n - 1) / ((n - 2) * (n - 3))))
               .withColumn(pre + "zscore", ratio(F.col(c) - F.col(pre + "mean"), F.col(pre + "std")))
               .withColumn(pre + "position", ratio(F.col(c) - F.col(pre + "min"), F.col(pre + "max") - F.col(pre + "min")))
-              .drop("_q", "_g1", "_g2"))
+              .drop("_q", "_m2", "_m3", "_m4", "_g1", "_g2"))
     return d
 
 
