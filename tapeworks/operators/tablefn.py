@@ -12,7 +12,7 @@ from collections import deque
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType, TimestampType
-from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn
 
 
 class LevelsFromBars:
@@ -30,23 +30,41 @@ class LevelsFromBars:
         if missing:
             raise ValueError(f"levels_from_bars: the table lacks {missing}")
         schema = StructType().add(name, fields[name]).add("ts", TimestampType()).add("kind", StringType()).add("price", DoubleType()).add("bar", LongType())
-        return AnalyzeResult(schema=schema, partitionBy=[PartitioningColumn(name)], orderBy=[OrderingColumn("ts")])
+        return AnalyzeResult(schema=schema, partitionBy=[PartitioningColumn(name)], orderBy=[OrderingColumn("ts")],
+                             select=[SelectedColumn(c) for c in dict.fromkeys((name, "ts", "high", "low"))])
 
     def __init__(self):
-        self.bars, self.n = deque(), 0
+        self.bars, self.n = None, 0
 
     def eval(self, bar, half: int, key: str | None = None):
         self.n += 1
-        self.bars.append((bar[key or "symbol"], bar["ts"], bar["high"], bar["low"]))
-        if len(self.bars) > 2 * half + 1:
-            self.bars.popleft()
-        if len(self.bars) == 2 * half + 1:
-            name, ts, high, low = self.bars[half]
-            others = [b for i, b in enumerate(self.bars) if i != half]
-            if high is not None and all(b[2] is not None and b[2] < high for b in others):
-                yield name, ts, "resistance", float(high), self.n - half
-            if low is not None and all(b[3] is not None and b[3] > low for b in others):
-                yield name, ts, "support", float(low), self.n - half
+        if self.bars is None:
+            self.bars = deque(maxlen=2 * half + 1)
+        bars = self.bars
+        bars.append((bar["high"], bar["low"], bar["ts"], bar[key or "symbol"]))
+        if len(bars) < 2 * half + 1:
+            return
+        high, low, ts, name = bars[half]
+        if high is not None and _below(bars, half, high):
+            yield name, ts, "resistance", float(high), self.n - half
+        if low is not None and _above(bars, half, low):
+            yield name, ts, "support", float(low), self.n - half
+
+
+def _below(bars, half: int, high) -> bool:
+    """Whether all highs but the middle one are known and below it."""
+    for i, b in enumerate(bars):
+        if i != half and (b[0] is None or not b[0] < high):
+            return False
+    return True
+
+
+def _above(bars, half: int, low) -> bool:
+    """Whether all lows but the middle one are known and above it."""
+    for i, b in enumerate(bars):
+        if i != half and (b[1] is None or not b[1] > low):
+            return False
+    return True
 
 
 def register(spark: SparkSession) -> SparkSession:
