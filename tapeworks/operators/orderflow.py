@@ -18,7 +18,8 @@ from tapeworks.functions.mathx import clip, ratio, safe_div
 from tapeworks.plans import frames
 from tapeworks.plans.asof import asof_join
 from tapeworks.plans.orderstats import attach_stats
-from tapeworks.plans.panel import Panel, hour_bucket, islands, join_on, on_chunks, running
+from tapeworks.plans.panel import Panel, frame_parts, hour_bucket, islands, join_on, on_chunks, running
+from tapeworks.session import ensure_checkpoint_dir
 
 TAPE = Panel(("symbol",), ("ts", "trade_id"))
 EVENTS = Panel(("account_id",), ("ts", "event_id"))
@@ -34,34 +35,39 @@ def classify_trades(trades: DataFrame, quotes: DataFrame, bucket: Column, keys:
     return j.withColumn("side", F.when(F.col("q_mid").isNull(), None).when(F.col("price") >= F.col("q_mid"), "buy").otherwise("sell"))
 
 
-def cumulative_delta(df: DataFrame, bucket: Column, p: Panel = TAPE) -> DataFrame:
-    return running(df, p, {"cum_delta": ("sum", signed_volume())}, bucket)
+def cumulative_delta(df: DataFrame, bucket: Column, p: Panel = TAPE, position: str | None = None) -> DataFrame:
+    """Running signed volume; ``position`` names a column for the row's place in its key, from the same pass."""
+    return running(df, p, {"cum_delta": ("sum", signed_volume())} | ({position: ("sum", F.lit(1))} if position else {}), bucket)
 
 
-def delta_metrics(df: DataFrame, bucket: Column, n: int = 50, p: Panel = TAPE, rows: int = 50_000) -> DataFrame:
-    """Last-n-trade buy/sell/net volume, ratio, strength (= VPIN), momentum against the mean of 10 values, cumulative delta."""
-    d = cumulative_delta(df, bucket, p)
+def delta_metrics(df: DataFrame, bucket: Column, n: int = 50, p: Panel = TAPE, rows: int = 50_000, position: str | None = None) -> DataFrame:
+    """Last-n-trade buy/sell/net volume, ratio, strength (= VPIN), momentum against the mean of 10 values, cumulative delta.
+
+    ``position`` names a column for the row's place in its key, which ``delta_patterns`` can use.
+    """
+    place = position or "_place"
+    d = cumulative_delta(df, bucket, p, place)
 
     def fn(x, q):
-        w = q.trailing(n)
-        b = F.sum(F.when(F.col("side") == "buy", F.col("volume")).otherwise(0.0)).over(w)
-        s = F.sum(F.when(F.col("side") == "buy", 0.0).otherwise(F.col("volume"))).over(w)
-        x = x.withColumn("buy_volume", b).withColumn("sell_volume", s).withColumn("net_delta", F.col("buy_volume") - F.col("sell_volume"))
+        buy = F.col("side") == "buy"
+        x = frame_parts(x, q, n, {"buy_volume": F.when(buy, F.col("volume")).otherwise(0.0), "sell_volume": F.when(buy, 0.0).otherwise(F.col("volume"))})
+        x = x.drop("buy_volume_n", "sell_volume_n").withColumn("net_delta", F.col("buy_volume") - F.col("sell_volume"))
         tot = F.col("buy_volume") + F.col("sell_volume")
         x = x.withColumn("delta_ratio", safe_div("buy_volume", tot, 0.5)).withColumn("strength", safe_div(F.abs("net_delta"), tot))
-        m = F.avg("net_delta").over(q.trailing(10))
-        return x.withColumn("momentum", (F.col("net_delta") - m) / (F.abs(m) + 1e-6))
+        x = x.withColumn("_m", F.avg("net_delta").over(q.trailing(10)))
+        return x.withColumn("momentum", (F.col("net_delta") - F.col("_m")) / (F.abs("_m") + 1e-6)).drop("_m")
 
-    return on_chunks(d, p, fn, bucket=bucket, before=n + 10, rows=rows)
+    out = on_chunks(d, p, fn, before=n + 10, rows=rows, position=place)
+    return out if position else out.drop(place)
 
 
-def delta_patterns(metrics: DataFrame, bucket: Column, p: Panel = TAPE, threshold: float = 0.7, rows: int = 50_000) -> DataFrame:
+def delta_patterns(metrics: DataFrame, bucket: Column, p: Panel = TAPE, threshold: float = 0.7, rows: int = 50_000, position: str | None = None) -> DataFrame:
     """Flags per row: buy/sell imbalance (>= 7 of 11), exhaustion (20), acceleration (15 rows), price/delta divergence (30)."""
     def fn(x, q):
         w11, w30 = q.trailing(11), q.trailing(30)
         x = x.withColumn("_nb", F.sum((F.col("delta_ratio") > threshold).cast("int")).over(w11)).withColumn("_ns", F.sum((F.col("delta_ratio") < 1 - threshold).cast("int")).over(w11))
-        recent, early = F.avg("momentum").over(q.trailing(5)), F.avg("momentum").over(q.frame(-14, -10))
-        x = x.withColumn("_acc", F.when(F.col("_rn") >= 15, recent - early)).withColumn("_rec", recent)
+        x = x.withColumn("_rec", F.avg("momentum").over(q.trailing(5)))
+        x = x.withColumn("_acc", F.when(F.col("_rn") >= 15, F.col("_rec") - F.avg("momentum").over(q.frame(-14, -10))))
         x = x.withColumn("_pt", F.regr_slope("price", "_pos").over(w30)).withColumn("_dt", F.regr_slope("cum_delta", "_pos").over(w30))
         m10, s20 = F.avg("momentum").over(q.frame(-19, -10)), F.avg("strength").over(q.frame(-19, -10))
         x = x.withColumn("_weak", (F.abs("_rec") < F.abs(m10)) & (F.avg("strength").over(q.trailing(5)) < s20))
@@ -78,7 +84,7 @@ def delta_patterns(metrics: DataFrame, bucket: Column, p: Panel = TAPE, threshol
         }
         x = x.select("*", *[z(c).alias(n) for n, c in flags.items()])
         return x.drop("_nb", "_ns", "_acc", "_rec", "_pt", "_dt", "_weak")
-    return on_chunks(metrics, p, fn, bucket=bucket, before=30, rows=rows)
+    return on_chunks(metrics, p, fn, bucket=bucket, before=30, rows=rows, position=position)
 
 
 def delta_bars(df: DataFrame, freq: str, bucket: Column, p: Panel = TAPE) -> DataFrame:

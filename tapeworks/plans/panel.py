@@ -14,7 +14,8 @@ Two regimes:
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import math
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -72,6 +73,56 @@ def join_on(left: DataFrame, right: DataFrame, cols, how: str = "inner") -> Data
     return left.join(r, cond, how).drop(*[f"__r_{c}" for c in cols])
 
 
+#: estimated rows (``size_estimate``) of one part of ``spread``
+SHARE = 100_000
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows dealt by key over parts that grow in number with the table, so that a task's sorts stay of one size.
+
+    It stands in for the shuffle that a window over the key makes; plans over small tables are left to that.
+    """
+    n = size_estimate(df)
+    return df.repartition(n // SHARE, *keys) if n > TARGET else df
+
+
+def frame_parts(df: DataFrame, p: Panel, n: int, sums: Mapping[str, Column] | None = None, tops: Mapping[str, Column] | None = None,
+                lows: Mapping[str, Column] | None = None, ramps: Mapping[str, Column] | None = None) -> DataFrame:
+    """Sums, maxima and minima of the trailing ``n`` rows, put together from those of shorter frames.
+
+    Spark goes through a trailing frame anew for every row. Here each row first takes the parts of about the square root of n
+    rows by ``lag``, and then the frame from such parts, so that a row costs twice that root; nothing is ever subtracted.
+
+    A name of ``sums`` becomes the sum of the values, null without any, and ``<name>_n`` their number. ``ramps`` are sums in
+    which the row k rows back counts k times, 0 without values. ``tops`` and ``lows`` are null without values.
+    """
+    sums, tops, lows, ramps = sums or {}, tops or {}, lows or {}, ramps or {}
+    block = max(1, round(math.sqrt(n)))
+    starts, rest = range(0, n - block + 1, block), range(n - n % block, n)
+    zero = {c: F.coalesce(e.cast("double"), F.lit(0.0)) for c, e in {**sums, **ramps}.items()}
+    some = {f"{c}_n": e.isNotNull().cast("int") for c, e in sums.items()}
+    ends = {c: (F.greatest, e) for c, e in tops.items()} | {c: (F.least, e) for c, e in lows.items()}
+    one = {c: e for c, e in (zero | some | {c: e for c, (_, e) in ends.items()}).items()}
+    d = df.withColumns({f"_one_{c}": e for c, e in one.items()})
+
+    def back(c: str, k: int) -> Column:
+        name = c[5:]
+        default = None if name in ends else 0 if name in some else 0.0
+        return F.lag(c, k, default).over(p.w) if k else F.col(c)
+
+    add = lambda xs: reduce(lambda a, b: a + b, xs)
+    pick = lambda f, xs: f(*xs) if len(xs) > 1 else xs[0]
+    parts = {f"_sum_{c}": add([back(f"_one_{c}", k) for k in range(block)]) for c in zero | some}
+    parts |= {f"_rmp_{c}": add([back(f"_one_{c}", k) * float(k) for k in range(block)]) for c in ramps}
+    parts |= {f"_end_{c}": pick(f, [back(f"_one_{c}", k) for k in range(block)]) for c, (f, _) in ends.items()}
+    d = d.withColumns(parts)
+    whole = {c: add([back(f"_sum_{c}", k) for k in starts] + [back(f"_one_{c}", k) for k in rest]) for c in {**{c: None for c in sums}, **some}}
+    whole |= {c: add([back(f"_rmp_{c}", k) + back(f"_sum_{c}", k) * float(k) for k in starts] + [back(f"_one_{c}", k) * float(k) for k in rest]) for c in ramps}
+    whole |= {c: pick(f, [back(f"_end_{c}", k) for k in starts] + [back(f"_one_{c}", k) for k in rest]) for c, (f, _) in ends.items()}
+    d = d.withColumns(whole).withColumns({c: F.when(F.col(f"{c}_n") > 0, F.col(c)) for c in sums}) if sums else d.withColumns(whole)
+    return d.drop(*[f"_one_{c}" for c in one], *parts)
+
+
 def day_bucket(ts: str = "ts") -> Column:
     return F.date_trunc("day", F.col(ts))
 
@@ -123,22 +174,14 @@ def sized(df: DataFrame, panel: Panel, bucket: Column) -> Column:
 def number_rows(df: DataFrame, panel: Panel, bucket: Column, name: str = "_rn") -> DataFrame:
     """Exact 1-based position of each row within its key, without one task per key.
 
-    ``bucket`` is any non-decreasing function of the leading order column. Counts per
-    (key, bucket) are map-side combined, prefix-summed on the small bucket table and
-    added to a row_number inside the bucket. A bucket that holds too many rows is cut (``sized``).
+    ``bucket`` is any non-decreasing function of the leading order column. A position is a running
+    count (``running``); a bucket that holds too many rows is cut (``sized``).
     """
-    k = list(panel.keys)
-    d = df.withColumn("_bkt", sized(df, panel, bucket))
-    counts = d.groupBy(*k, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(*k).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*k, "_bkt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*k, "_bkt").orderBy(*panel.order)
-    out = join_on(d, offs, k + ["_bkt"])
-    return out.withColumn(name, F.col("_off") + F.row_number().over(inside)).drop("_bkt", "_off")
+    return running(df, panel, {name: ("sum", F.lit(1))}, bucket)
 
 
 def on_chunks(df: DataFrame, panel: Panel, fn: Callable[[DataFrame, Panel], DataFrame], *,
-              before: int, bucket: Column | None = None, after: int = 0, rows: int = 50_000) -> DataFrame:
+              before: int, bucket: Column | None = None, after: int = 0, rows: int = 50_000, position: str | None = None) -> DataFrame:
     """Run a bounded-frame window operator on chunks of at most ``rows`` + halo rows.
 
     ``fn(df, panel)`` may look ``before`` rows back and ``after`` rows ahead; rows are
@@ -146,10 +189,13 @@ def on_chunks(df: DataFrame, panel: Panel, fn: Callable[[DataFrame, Panel], Data
     so the result equals running ``fn`` on whole keys. Inside ``fn`` the columns ``_rn``
     (1-based position in the key) and ``_pos`` (0-based position in the chunk) are available.
 
-    ``bucket`` gives the skew-safe row numbering; leave it out only for grid-bounded bars.
+    ``bucket`` gives the skew-safe row numbering; leave it out only for grid-bounded bars. ``position`` names a
+    column that holds the 1-based position already, so that rows needn't be counted again.
     """
     rows = max(rows, before + after, 1)
-    if bucket is None:
+    if position is not None:
+        d = df.withColumn("_rn", F.col(position))
+    elif bucket is None:
         d = df.withColumn("_rn", F.row_number().over(panel.w).cast("bigint"))
     else:
         d = number_rows(df, panel, bucket, "_rn")
@@ -168,6 +214,8 @@ def running(df: DataFrame, panel: Panel, specs: Mapping[str, tuple[str, Column]]
 
     ``specs`` maps an output name to ``(op, expression)``; the expression must not use
     windows. ``reverse`` scans from the end (``last`` then means "next non-null").
+
+    The carry enters each bucket as a row of its own before all others, so the rows move once and meet no join.
     """
     k = list(panel.keys)
     d = df.withColumn("_bkt", sized(df, panel, bucket))
@@ -192,11 +240,16 @@ def running(df: DataFrame, panel: Panel, specs: Mapping[str, tuple[str, Column]]
     prev = Window.partitionBy(*k).orderBy(b_ord).rowsBetween(Window.unboundedPreceding, -1)
     carry = parts.select(*k, "_bkt", *[over(specs[n][0], F.col(f"_p_{n}"), prev).alias(f"_c_{n}") for n in names])
     o = [F.col(c).desc() if reverse else F.col(c).asc() for c in panel.order]
-    inside = Window.partitionBy(*k, "_bkt").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
-    out = join_on(d, carry, k + ["_bkt"])
+    inside = Window.partitionBy(*k, "_bkt").orderBy("_own", *o).rowsBetween(Window.unboundedPreceding, 0)
+    kinds = carry.schema
+    d = d.select("*", F.lit(1).alias("_own"), *[F.lit(None).cast(kinds[f"_c_{n}"].dataType).alias(f"_c_{n}") for n in names])
+    heads = carry.withColumn("_own", F.lit(0))
+    kinds = d.schema
+    out = d.unionByName(heads.select(*[F.col(c) if c in heads.columns else F.lit(None).cast(kinds[c].dataType).alias(c) for c in d.columns]))
+    out = out.select("*", *[over(specs[n][0], F.col(f"_x_{n}"), inside).alias(f"_l_{n}") for n in names], *[F.first(f"_c_{n}").over(inside).alias(f"_h_{n}") for n in names]).where("_own = 1")
     for n in names:
         op = specs[n][0]
-        local, c = over(op, F.col(f"_x_{n}"), inside), F.col(f"_c_{n}")
+        local, c = F.col(f"_l_{n}"), F.col(f"_h_{n}")
         if op == "sum":
             v = F.coalesce(local, F.lit(0)) + F.coalesce(c, F.lit(0))
         elif op == "last":
@@ -204,7 +257,7 @@ def running(df: DataFrame, panel: Panel, specs: Mapping[str, tuple[str, Column]]
         else:
             v = (F.greatest if op == "max" else F.least)(local, c)
         out = out.withColumn(n, v)
-    return out.drop("_bkt", *[f"_x_{n}" for n in names], *[f"_c_{n}" for n in names])
+    return out.drop("_bkt", "_own", *[f"_{a}_{n}" for n in names for a in "xclh"])
 
 
 def islands(df: DataFrame, panel: Panel, label: Column, name: str = "island") -> DataFrame:

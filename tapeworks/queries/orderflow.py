@@ -40,7 +40,7 @@ def _(s, d):
  FROM d3 WINDOW w11 AS ({W} ROWS 10 PRECEDING), w5 AS ({W} ROWS 4 PRECEDING), e AS ({W} ROWS BETWEEN 14 PRECEDING AND 10 PRECEDING), w30 AS ({W} ROWS 29 PRECEDING))
  SELECT trade_id, CAST(nb>=7 AND rn>10 AS INTEGER) AS buy_imbalance, CAST(ns>=7 AND rn>10 AND nb<7 AS INTEGER) AS sell_imbalance, CAST(coalesce(rn>=30 AND pt>0 AND dt < -0.1,false) AS INTEGER) AS bear_divergence, CAST(coalesce(rn>=30 AND pt<0 AND dt>0.1,false) AS INTEGER) AS bull_divergence FROM p""")
 def _(s, d):
-    m = OF.delta_patterns(OF.delta_metrics(tk(s, d), day_bucket()), day_bucket())
+    m = OF.delta_patterns(OF.delta_metrics(tk(s, d), day_bucket(), position="place"), day_bucket(), position="place")
     return m.select("trade_id", "buy_imbalance", "sell_imbalance", "bear_divergence", "bull_divergence")
 
 
