@@ -89,8 +89,8 @@ def delta_patterns(metrics: DataFrame, bucket: Column, p: Panel = TAPE, threshol
 
 def delta_bars(df: DataFrame, freq: str, bucket: Column, p: Panel = TAPE) -> DataFrame:
     """OHLC of running delta with volumes per bar."""
-    d = cumulative_delta(df, bucket, p)
-    o = F.struct(*p.order)
+    d = cumulative_delta(df, bucket, p, "_place")
+    o = F.col("_place")  # a number keeps the aggregate hashed, a struct would make it sort
     buy = F.col("side") == "buy"
     g = d.groupBy(*p.keys, F.window("ts", freq).alias("_w")).agg(
         F.min_by("cum_delta", o).alias("d_open"), F.max("cum_delta").alias("d_high"), F.min("cum_delta").alias("d_low"), F.max_by("cum_delta", o).alias("d_close"),
@@ -120,7 +120,9 @@ def divergences(bars: DataFrame, p: Panel = Panel(), n: int = 2) -> DataFrame:
         x = F.col(c)
         return (x > b) & (x > a) if hi else (x < b) & (x < a)
 
+    ensure_checkpoint_dir(bars.sparkSession)
     d = bars.select(*p.keys, "ts", "high", "low", "d_close", *[flag(c, h).alias(m) for c, h, m in (("high", True, "_ph"), ("low", False, "_pl"), ("d_close", True, "_dh"), ("d_close", False, "_dl"))])
+    d = d.where("_ph OR _pl OR _dh OR _dl").checkpoint()  # both joins read the extremes several times
     out = None
     for pf, df_, price, up in (("_ph", "_dh", "high", True), ("_pl", "_dl", "low", False)):
         px = d.where(pf).select(*p.keys, "ts", F.col(price).alias("price"))
