@@ -1,7 +1,8 @@
 """Technical indicators as window expressions over a panel of bars.
 
 Each function adds columns and returns the frame; windows share one (key, order) spec so
-Spark sorts once per call chain. Values are null until their window is full.
+Spark sorts once per call chain. Values are null until their window is full. A frame's sums
+are columns before they are used (``frame_parts``): Spark computes a window function anew wherever it is written.
 
 Recursive averages (EMA family) are written as weighted running sums. Their memory decays,
 so rows further back than ``ema_memory`` cannot change a double; ``with_emas`` therefore
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.mathx import ratio, safe_div
-from tapeworks.plans.panel import Panel, on_chunks, running
+from tapeworks.plans.panel import Panel, frame_parts, on_chunks, running
 
 PANEL = Panel()
 OHLCV = ("open", "high", "low", "close", "volume")
@@ -196,8 +197,12 @@ def vwap(df: DataFrame, n: int | None = None, p: Panel = PANEL, out: str = "vwap
     px = F.col(price) if price else (F.col("high") + F.col("low") + F.col("close")) / 3
     w = p.trailing(n) if n else p.cum
     d = df.withColumn("_pv", px * F.col("volume"))
-    v = safe_div(F.sum("_pv").over(w), F.sum("volume").over(w), None)
-    return d.withColumn(out, full(v, "_pv", n, p) if n else v).drop("_pv")
+    if n:
+        d = frame_parts(d, p, n, {"_num": F.col("_pv"), "_den": F.col("volume")})
+    else:
+        d = d.select("*", F.sum("_pv").over(p.cum).alias("_num"), F.sum("volume").over(p.cum).alias("_den"))
+    v = safe_div("_num", "_den", None)
+    return d.withColumn(out, F.when(F.col("_num_n") == n, v) if n else v).drop("_pv", "_num", "_den", "_num_n", "_den_n")
 
 
 def mfi(df: DataFrame, n: int = 14, p: Panel = PANEL, out: str = "mfi") -> DataFrame:
@@ -206,9 +211,10 @@ def mfi(df: DataFrame, n: int = 14, p: Panel = PANEL, out: str = "mfi") -> DataF
     mf = F.col("_tp") * F.col("volume")
     d = (d.withColumn("_in", F.when(F.col("_tp") > F.col("_ptp"), mf).when(F.col("_ptp").isNotNull(), 0.0))
           .withColumn("_out", F.when(F.col("_tp") < F.col("_ptp"), mf).when(F.col("_ptp").isNotNull(), 0.0)))
-    a, b = F.sum("_in").over(p.trailing(n)), F.sum("_out").over(p.trailing(n))
+    d = frame_parts(d, p, n, {"_a": F.col("_in"), "_b": F.col("_out")})
+    a, b = F.col("_a"), F.col("_b")
     v = F.when((a == 0) & (b == 0), 50.0).when(b == 0, 100.0).otherwise(100 - 100 / (1 + ratio(a, b)))
-    return d.withColumn(out, full(v, "_out", n, p)).drop("_tp", "_ptp", "_in", "_out")
+    return d.withColumn(out, F.when(F.col("_b_n") == n, v)).drop("_tp", "_ptp", "_in", "_out", "_a", "_b", "_a_n", "_b_n")
 
 
 def _clv() -> Column:
@@ -217,8 +223,8 @@ def _clv() -> Column:
 
 def cmf(df: DataFrame, n: int = 21, p: Panel = PANEL, out: str = "cmf") -> DataFrame:
     d = df.withColumn("_mfv", _clv() * F.col("volume"))
-    v = safe_div(F.sum("_mfv").over(p.trailing(n)), F.sum("volume").over(p.trailing(n)))
-    return d.withColumn(out, full(v, "_mfv", n, p)).drop("_mfv")
+    d = frame_parts(d, p, n, {"_num": F.col("_mfv"), "_den": F.col("volume")})
+    return d.withColumn(out, F.when(F.col("_num_n") == n, safe_div("_num", "_den"))).drop("_mfv", "_num", "_den", "_num_n", "_den_n")
 
 
 def cumulative_volume(df: DataFrame, p: Panel = PANEL, bucket: Column | None = None) -> DataFrame:
