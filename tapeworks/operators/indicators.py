@@ -195,7 +195,6 @@ def dpo(df: DataFrame, n: int = 20, c: str = "close", p: Panel = PANEL, out: str
 def vwap(df: DataFrame, n: int | None = None, p: Panel = PANEL, out: str = "vwap", price: str | None = None) -> DataFrame:
     """Rolling (n) or cumulative volume-weighted price."""
     px = F.col(price) if price else (F.col("high") + F.col("low") + F.col("close")) / 3
-    w = p.trailing(n) if n else p.cum
     d = df.withColumn("_pv", px * F.col("volume"))
     if n:
         d = frame_parts(d, p, n, {"_num": F.col("_pv"), "_den": F.col("volume")})
@@ -274,8 +273,8 @@ def volume_price_confirmation(df: DataFrame, n: int = 10, p: Panel = PANEL, out:
 # -- levels, flags, signals ---------------------------------------------------------------
 
 def pivot_points(df: DataFrame, p: Panel = PANEL) -> DataFrame:
-    h, l, c = (F.lag(x).over(p.w) for x in ("high", "low", "close"))
-    d = df.withColumn("_h", h).withColumn("_l", l).withColumn("pivot", (h + l + c) / 3)
+    d = df.select("*", *[F.lag(x).over(p.w).alias(f"_{x[0]}") for x in ("high", "low", "close")])
+    d = d.withColumn("pivot", (F.col("_h") + F.col("_l") + F.col("_c")) / 3)
     H, L, V = F.col("_h"), F.col("_l"), F.col("pivot")
     return d.select(*df.columns, "pivot", (2 * V - L).alias("r1"), (2 * V - H).alias("s1"), (V + H - L).alias("r2"), (V - H + L).alias("s2"),
                     (H + 2 * (V - L)).alias("r3"), (L - 2 * (H - V)).alias("s3"))
@@ -287,18 +286,18 @@ FIB_RATIOS = (0.236, 0.382, 0.5, 0.618, 0.786)
 
 def rolling_levels(df: DataFrame, n: int = 20, p: Panel = PANEL) -> DataFrame:
     """trend_strength (slope), fib_* of the trailing range, centred support and resistance carried forward."""
-    hh, ll = F.max("high").over(p.trailing(n)), F.min("low").over(p.trailing(n))
-    d = df.withColumn("_i", F.row_number().over(p.w).cast("double")) if "_pos" not in df.columns else df.withColumn("_i", F.col("_pos"))
-    d = d.withColumn("trend_strength", full(F.regr_slope("close", "_i").over(p.trailing(n)), "close", n, p))
-    d = d.withColumn("_hh", full(hh, "high", n, p)).withColumn("_ll", full(ll, "low", n, p))
+    names = ("high", "low", "close")
+    d = frame_parts(df, p, n, {f"_s_{x}": F.col(x) for x in names}, {"_hi": F.col("high")}, {"_lo": F.col("low")}, {"_back": F.col("close")})
+    at = lambda k, x: F.when(F.col(f"_s_{k}_n") == n, x)
+    middle, spread = (n - 1) / 2, n * (n * n - 1) / 12
+    d = d.withColumns({"trend_strength": at("close", (middle * F.col("_s_close") - F.col("_back")) / spread), "_hh": at("high", F.col("_hi")), "_ll": at("low", F.col("_lo")),
+                       "_s": at("close", F.col("_lo")), "_r": at("close", F.col("_hi"))})
+    ahead = n - 1 - n // 2  # the centred frame is the trailing frame of the row that ends it
+    d = d.select(*[c for c in d.columns if c not in ("_s", "_r")], *[F.lead(c, ahead).over(p.w).alias(c) for c in ("_s", "_r")])
     for r in FIB_RATIOS:
         d = d.withColumn(f"fib_{int(round(r * 1000))}", F.col("_hh") - r * (F.col("_hh") - F.col("_ll")))
-    back, fwd = n // 2, n - 1 - n // 2
-    c = p.frame(-back, fwd)
-    ok = F.count("close").over(c) == n
-    d = d.withColumn("_s", F.when(ok, F.min("low").over(c))).withColumn("_r", F.when(ok, F.max("high").over(c)))
     return (d.withColumn("support", F.last("_s", True).over(p.cum)).withColumn("resistance", F.last("_r", True).over(p.cum))
-             .drop("_i", "_hh", "_ll", "_s", "_r"))
+             .drop("_hh", "_ll", "_s", "_r", "_hi", "_lo", "_back", *[f"_s_{x}{e}" for x in names for e in ("", "_n")]))
 
 
 def swing_flags(df: DataFrame, n: int = 5, p: Panel = PANEL, tolerance: float = 0.02) -> DataFrame:
