@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.operators.bars import packed, trade_bars
+from tapeworks.plans.panel import spread
 
 TRADE_TIE = ("order_id", "line_no", "item_id")
 
@@ -52,7 +53,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     within_day = F.unix_micros("ts") % 86_400_000_000
-    return trade_bars(trades(spark, sf_dir), "1 day", order=packed((within_day, 11), ("order_id", 13), ("line_no", 3), ("item_id", 11)))
+    return spread(trade_bars(trades(spark, sf_dir), "1 day", order=packed((within_day, 11), ("order_id", 13), ("line_no", 3), ("item_id", 11))), ("symbol",))
 
 
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
