@@ -73,7 +73,7 @@ class PairwiseRanker:
             with_g = join_on(d.withColumn("_c", score_cell(F.col("score"))), cells, [*self.group, "grade", "_c"], "left").drop("_c").checkpoint()
             tree = self._grow(with_g)
             self.trees.append(tree)
-            d = with_g.withColumn("score", F.col("score") + self._value(tree)).select(*self.group, "grade", "bins", "score").checkpoint()
+            d = with_g.withColumn("score", F.col("score") + self._value(tree)).select(*self.group, "grade", "bins", "score")
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
