@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.mathx import ratio, safe_div
 from tapeworks.plans.panel import Panel, join_on
+from tapeworks.session import ensure_checkpoint_dir
 
 PANEL = Panel()
 
@@ -313,6 +314,8 @@ def combined_levels(df: DataFrame, methods: Sequence[str] = ("pivot", "peak", "v
     """One level table from the chosen methods with strength and rank per key."""
     k = list(keys)
     p = Panel(tuple(k), ("ts",))
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.select(*k, "ts", "high", "low", "close", "volume").checkpoint()  # the methods read the bars eight times
     last = df.groupBy(*k).agg(F.max("ts").alias("_mx"))
     parts = []
     if "pivot" in methods:
