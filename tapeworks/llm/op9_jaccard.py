@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm import exchange as X
 from tapeworks.llm.components import components
-from tapeworks.llm.hashing import GRAM_BASE, U, RangeHash, grams, mix, texts, word_hashes
+from tapeworks.llm.hashing import GRAM_BASE, HASHED, U, RangeHash, grams, mix, slices, texts, word_hashes
 from tapeworks.session import ensure_checkpoint_dir
 
 BLOCK = 512
@@ -36,19 +36,24 @@ _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", p
 _LEFT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("copies", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.list_(pa.int64())))])
 
 
+def _shingles(column, k: int):
+    """The sets of ``shingle_sets`` one after the other; only a slice of the texts is hashed at once."""
+    buf, off = texts(column)
+    for a, b in slices(off, HASHED):
+        words, first = word_hashes(buf[off[a]:off[b]], off[a:b + 1] - off[a], fold=True)
+        h, _, doc = grams(words, first, k)
+        cut = np.searchsorted(doc, np.arange(len(first)))
+        for i in range(len(first) - 1):
+            n = first[i + 1] - first[i]
+            if n >= k:
+                yield np.unique(h[cut[i]:cut[i + 1]])
+            else:
+                yield RangeHash(words[first[i]:first[i + 1]], GRAM_BASE)(np.array([0]), np.array([n])) if n else np.zeros(0, U)
+
+
 def shingle_sets(column, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text, A-Z lower-cased."""
-    words, first = word_hashes(*texts(column), fold=True)
-    h, _, doc = grams(words, first, k)
-    cut = np.searchsorted(doc, np.arange(len(first)))
-    out = []
-    for i in range(len(first) - 1):
-        n = first[i + 1] - first[i]
-        if n >= k:
-            out.append(np.unique(h[cut[i]:cut[i + 1]]))
-        else:
-            out.append(RangeHash(words[first[i]:first[i + 1]], GRAM_BASE)(np.array([0]), np.array([n])) if n else np.zeros(0, U))
-    return out
+    return list(_shingles(column, k))
 
 
 class Threshold:
@@ -155,7 +160,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ord
     def sets(batches):
         for batch in batches:
             rows = []
-            for s in shingle_sets(batch["text"], k):
+            for s in _shingles(batch["text"], k):
                 a, b = (mix(s, 11).sum(dtype=U), np.bitwise_xor.reduce(mix(s, 12))) if len(s) else (U(0), U(0))
                 rows.append((len(s), int(a.astype(np.int64)), int(b.astype(np.int64))))
             cols = list(zip(*rows)) or [(), (), ()]
@@ -163,17 +168,16 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ord
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "doc_id long, n_shingles long, fp1 long, fp2 long").checkpoint()
     classes = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    home = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("home")
     empty = [F.lit(None).cast(c).alias(a) for a, c in (("bucket", "int"), ("n", "int"), ("bits", "binary"))]
-    reps = classes.select(F.col("rep").alias("doc_id"), "copies").select(home, F.lit(-1).alias("kind"), F.col("doc_id").alias("id"), "copies", *empty)
-    base = X.homed(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"])
+    reps = classes.select(F.col("rep").alias("doc_id"), "copies").select(X.home(X.HOMES * n), F.lit(-1).alias("kind"), F.col("doc_id").alias("id"), "copies", *empty)
+    base = X.homed(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], X.HOMES)
 
     def chosen(table, right):
         """The classes' representatives here, their sets, and for each order the prefixes."""
         mine = right.filter(pc.equal(right["kind"], -1))
         copies = dict(zip(mine["id"].to_pylist(), mine["copies"].to_pylist()))
         table = X.by_id(table.filter(pc.is_in(table["doc_id"], value_set=mine["id"].combine_chunks())))
-        ids, every = table["doc_id"].to_pylist(), shingle_sets(table["text"], k)
+        ids, every = table["doc_id"].to_pylist(), _shingles(table["text"], k)
         some = [(i, copies[i], s) for i, s in zip(ids, every) if len(s)]
         heads = [[prefix(s, o, t.prefix(len(s))) for _, _, s in some] for o in range(1, orders + 1)]
         return some, heads
