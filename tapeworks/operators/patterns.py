@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -276,14 +277,20 @@ def nearest_levels(levels: DataFrame, n: int = 5, keys: Sequence[str] = ("symbol
 def validate_levels(levels: DataFrame, bars: DataFrame, tolerance: float = 0.01, min_touches: int = 2, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Touches, bounces and breaks after a level's time; valid when touched enough, accuracy >= .5 and holding score >= 60.
 
-    Bars are exploded to the log-price buckets their range covers, levels sit in one bucket: an equi join.
+    Levels meet all bars of their key where ``p.w`` has put them, so bars move no further than for the window; pairs are
+    only tested, never kept. Keys with a null, which an equi join can't match that way, are joined apart.
     """
-    k, step = list(keys), math.log1p(tolerance)
+    k = list(keys)
     p = Panel(tuple(k), ("ts",))
     b = bars.select(*k, "ts", "high", "low", "close", F.lead("close").over(p.w).alias("_nc"))
-    b = b.withColumn("_b", F.explode(F.sequence(F.floor(F.ln(F.col("low") * (1 - tolerance)) / step), F.floor(F.ln(F.col("high") * (1 + tolerance)) / step))))
-    lv = levels.select(*k, F.col("ts").alias("level_ts"), "price", "kind").withColumn("_b", F.floor(F.ln("price") / step))
-    j = join_on(lv, b, [*k, "_b"])
+    lv = levels.select(*k, F.col("ts").alias("level_ts"), "price", "kind")
+    some = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in k])
+    return _validated(lv.where(~some).join(b.where(~some), k), tolerance, min_touches, k).unionByName(
+        _validated(join_on(lv.where(some), b.where(some), k), tolerance, min_touches, k))
+
+
+def _validated(j: DataFrame, tolerance: float, min_touches: int, k: list[str]) -> DataFrame:
+    """What ``validate_levels`` returns, from pairs of a level and a bar of its key."""
     L, up = F.col("price"), F.col("kind") == "support"
     j = j.where((F.col("ts") > F.col("level_ts")) & (F.col("low") <= L * (1 + tolerance)) & (F.col("high") >= L * (1 - tolerance)))
     broke = F.when(up, F.col("close") < L * (1 - tolerance)).otherwise(F.col("close") > L * (1 + tolerance))
