@@ -10,20 +10,26 @@ the smaller. So:
    with too few repeated ones under any order has no partner and is done.
 3. Of the rest, each order's prefix is put rarest first and cut to where it must still share one token with a partner.
    Documents that share such tokens, directly or through others, are a candidate group; each further order splits the groups
-   of those before it, since partners must be together under all of them.
+   of those before it, since partners must be together under all of them. What is still larger than a block is split once
+   more under each order by tokens that documents of like size share: the sizes of partners lie in one band or in two
+   that adjoin.
 4. Within candidate groups, in blocks of bounded size that meet pairwise in tasks of their own, pairs must share enough
-   prefix tokens under every order; exact intersections decide those. A task returns a spanning forest of its links and the
-   number of links of each document, never its pairs.
+   prefix tokens under every order; exact intersections decide those. Larger groups have blocks by band, which meet those of
+   their own and the adjoining bands only, and blocks grow with a band, so that a document is sent to a bounded number of tasks
+   until a block takes ``TOKENS``. A task returns a spanning forest of its links and the number of links of each document,
+   never its pairs.
 
 Texts without words link with nothing and are their own component; rows with one doc_id are one document; a null doc_id
 gets a null component_id and takes no part. An empty table gives an empty result; other columns are not looked at.
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm import exchange as X
@@ -31,7 +37,11 @@ from tapeworks.llm.components import components
 from tapeworks.llm.hashing import GRAM_BASE, HASHED, U, RangeHash, grams, mix, slices, texts, word_hashes
 from tapeworks.session import ensure_checkpoint_dir
 
+#: documents whose pairs are looked at together
 BLOCK = 512
+#: blocks that a band of a group has, where these hold at least BLOCK documents and at most about TOKENS shingles
+PARTS = 16
+TOKENS = 2 << 20
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64())])
 _LEFT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("copies", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.list_(pa.int64())))])
 
@@ -71,6 +81,12 @@ class Threshold:
         """How many prefix tokens any partner shares at least: that of the smallest possible one."""
         return self.misses(-(-n * self.num // self.den)) + 1
 
+    def band(self, n: Column) -> Column:
+        """A band of sizes; the sizes of partners lie in the same or in adjoining ones."""
+        if self.num >= self.den:
+            return n.cast("long")
+        return F.floor(F.ln(n) / (math.log(self.den / self.num) * (1 + 1e-9)))
+
 
 def prefix(tokens: np.ndarray, order: int, n: int) -> np.ndarray:
     """The first n tokens under an order, as their sorted ranks."""
@@ -143,6 +159,30 @@ def _forest(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _merged(edges: list[tuple[int, int]], root: np.ndarray) -> list[tuple[int, int]]:
+    """The edges that join parts which those before, kept in root, left apart."""
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for x, y in edges:
+        if (a := find(x)) != (b := find(y)):
+            root[a] = b
+            out.append((x, y))
+    return out
+
+
+def _pairs_of(side: np.ndarray, same: bool):
+    """Which rows meet which: pieces of at most BLOCK rows, each pair of pieces once. side: True for rows of the second block."""
+    first, second = [[rows[i:i + BLOCK] for i in range(0, len(rows), BLOCK)] for rows in (np.flatnonzero(~side), np.flatnonzero(side))]
+    for x, a in enumerate(first):
+        for b in first[x:] if same else second:
+            yield (a, a) if a is b else (a, b)
+
+
 def _split(group: DataFrame, keys: DataFrame) -> DataFrame:
     """Groups of documents that share keys with another document of their group, directly or through others."""
     held = keys.join(group, "doc_id").select("doc_id", F.xxhash64("group", "key").alias("key"))
@@ -152,6 +192,45 @@ def _split(group: DataFrame, keys: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("group").alias("doc_id"), "group").distinct())
 
 
+def _split_large(group: DataFrame, left: DataFrame, t: Threshold, orders: int) -> DataFrame:
+    """Groups of more than BLOCK documents, split by keys that hold for one band of sizes and the next."""
+    for order in range(orders):
+        group = group.checkpoint()
+        sizes = group.groupBy("group").agg(F.count("*").alias("of")).where(F.col("of") > BLOCK).drop("of")
+        large = group.join(sizes, "group", "left_semi").checkpoint()
+        if large.isEmpty():
+            break
+        band = t.band(F.col("n"))
+        keys = left.join(large, "doc_id", "left_semi").select("doc_id", band.alias("band"), F.explode(F.col("keys")[order]).alias("key"))
+        keys = keys.select("doc_id", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "key")
+        group = group.join(sizes, "group", "left_anti").unionByName(_split(large, keys.select("doc_id", F.xxhash64("band", "key").alias("key"))))
+    return group
+
+
+def _placed(group: DataFrame, left: DataFrame, t: Threshold) -> DataFrame:
+    """Each document once for every pair of blocks, lo and hi, that it is to be looked at in, with its own, i."""
+    sizes = group.groupBy("group").agg(F.count("*").alias("of")).where(F.col("of") > BLOCK).withColumn("large", F.lit(True)).drop("of")
+    d = group.join(left.select("doc_id", "n"), "doc_id").join(sizes, "group", "left")
+    d = d.select("doc_id", "group", "n", F.when(F.col("large"), t.band(F.col("n"))).otherwise(F.lit(0)).cast("long").alias("band"))
+    cells = d.groupBy("group", "band").agg(F.count("*").alias("of"), F.sum("n").alias("all"))
+    block = F.greatest(F.lit(BLOCK), F.least(F.col("of") / PARTS, TOKENS * F.col("of") / F.col("all")))
+    cells = cells.select("group", "band", F.ceil(F.col("of") / block).alias("g")).checkpoint()
+    near = cells.select("group", (F.col("band") - 1).alias("band"), F.col("g").alias("above")).join(
+        cells.select("group", (F.col("band") + 1).alias("band"), F.col("g").alias("below")), ["group", "band"], "full")
+    d = d.join(cells.join(near, ["group", "band"], "left"), ["group", "band"])
+    number = lambda band, i: F.shiftleft(band, 32) + i
+    d = d.withColumn("i", number(F.col("band"), F.pmod(F.xxhash64("doc_id"), F.col("g"))))
+
+    def blocks(band: Column, g: Column) -> Column:
+        none = F.array().cast("array<long>")
+        return F.when(g > 0, F.transform(F.sequence(F.lit(0).cast("long"), g - 1), lambda j: number(band, j))).otherwise(none)
+
+    band, out = F.col("band"), F.lit(0).cast("long")
+    others = F.concat(blocks(band - 1, F.coalesce("below", out)), blocks(band, F.col("g")), blocks(band + 1, F.coalesce("above", out)))
+    d = d.withColumn("j", F.explode(others))
+    return d.select("doc_id", "group", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, orders: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links (documents linked, equal ones included)."""
     ensure_checkpoint_dir(docs.sparkSession)
@@ -216,10 +295,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ord
     group = left.select("doc_id", F.lit(0).cast("long").alias("group"))
     for order in range(orders):
         group = _split(group, left.select("doc_id", F.explode(F.col("keys")[order]).alias("key")))
-    blocks = group.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
-    placed = group.join(blocks, "group").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
-    placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    placed = placed.select("doc_id", "group", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    placed = _placed(_split_large(group, left, t, orders), left, t)
     packs = placed.join(left.drop("keys"), "doc_id").withColumn("pack", F.pmod(F.xxhash64("group", "lo", "hi"), F.lit(4 * n)).cast("int"))
 
     def verify(key, table):
@@ -232,15 +308,19 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ord
             if b - a < 2:
                 continue
             tokens = [np.frombuffer(x, U) for x in blobs.slice(a, b - a).to_pylist()]
-            across = np.triu(np.ones((b - a, b - a), bool), 1)
-            if lo[a] != hi[a]:
-                across &= i[a:b][:, None] != i[a:b][None, :]
-            links = _links(tokens, across, t, orders)
-            if not links.any():
-                continue
-            count = links @ copies[a:b] + links.T @ copies[a:b]
-            out += [(int(ids[a + x]), None, int(c)) for x, c in enumerate(count) if c]
-            out += [(int(ids[a + x]), int(ids[a + y]), 0) for x, y in _forest(links)]
+            root, count = np.arange(b - a), np.zeros(b - a, np.int64)
+            for x, y in _pairs_of(i[a:b] != lo[a], lo[a] == hi[a]):
+                at = x if x is y else np.concatenate([x, y])
+                across = np.triu(np.ones((len(at), len(at)), bool), 1)
+                if x is not y:
+                    across[:len(x), :len(x)] = across[len(x):] = False
+                links = _links([tokens[z] for z in at], across, t, orders)
+                if not links.any():
+                    continue
+                own = copies[a:b][at]
+                count[at] += links @ own + links.T @ own
+                out += [(int(ids[a + v]), int(ids[a + w]), 0) for v, w in _merged([(at[v], at[w]) for v, w in _forest(links)], root)]
+            out += [(int(ids[a + v]), None, int(count[v])) for v in np.flatnonzero(count)]
         return X.table_of(out, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())]))
 
     done = packs.groupBy("pack").applyInArrow(verify, "a long, b long, links long").checkpoint()
