@@ -208,9 +208,9 @@ def _split_large(group: DataFrame, left: DataFrame, t: Threshold, orders: int) -
 
 
 def _placed(group: DataFrame, left: DataFrame, t: Threshold) -> DataFrame:
-    """Each document once for every pair of blocks, lo and hi, that it is to be looked at in, with its own, i."""
+    """Each doc_id and size once for every pair of blocks, lo and hi, that it is to be looked at in, with its own, i."""
     sizes = group.groupBy("group").agg(F.count("*").alias("of")).where(F.col("of") > BLOCK).withColumn("large", F.lit(True)).drop("of")
-    d = group.join(left.select("doc_id", "n"), "doc_id").join(sizes, "group", "left")
+    d = group.join(left.select("doc_id", "n").distinct(), "doc_id").join(sizes, "group", "left")
     d = d.select("doc_id", "group", "n", F.when(F.col("large"), t.band(F.col("n"))).otherwise(F.lit(0)).cast("long").alias("band"))
     cells = d.groupBy("group", "band").agg(F.count("*").alias("of"), F.sum("n").alias("all"))
     block = F.greatest(F.lit(BLOCK), F.least(F.col("of") / PARTS, TOKENS * F.col("of") / F.col("all")))
@@ -228,7 +228,7 @@ def _placed(group: DataFrame, left: DataFrame, t: Threshold) -> DataFrame:
     band, out = F.col("band"), F.lit(0).cast("long")
     others = F.concat(blocks(band - 1, F.coalesce("below", out)), blocks(band, F.col("g")), blocks(band + 1, F.coalesce("above", out)))
     d = d.withColumn("j", F.explode(others))
-    return d.select("doc_id", "group", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    return d.select("doc_id", "n", "group", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, orders: int = 2) -> DataFrame:
@@ -296,7 +296,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ord
     for order in range(orders):
         group = _split(group, left.select("doc_id", F.explode(F.col("keys")[order]).alias("key")))
     placed = _placed(_split_large(group, left, t, orders), left, t)
-    packs = placed.join(left.drop("keys"), "doc_id").withColumn("pack", F.pmod(F.xxhash64("group", "lo", "hi"), F.lit(4 * n)).cast("int"))
+    packs = placed.join(left.drop("keys"), ["doc_id", "n"]).withColumn("pack", F.pmod(F.xxhash64("group", "lo", "hi"), F.lit(4 * n)).cast("int"))
 
     def verify(key, table):
         out = []
